@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
 from hushframe.llm.jaccard_join import near_groups
+from hushframe.llm.line_dedup import line_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -56,4 +62,20 @@ ORACLES = {
                    FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op9_line_dedup": r"""
+        WITH l AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(lines[pos + 1], '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS w
+                   FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+             k AS (SELECT doc_id, pos, w, row_number() OVER (ORDER BY doc_id, pos) AS place FROM l WHERE len(w) >= 5),
+             c AS (SELECT w, min(place) AS place FROM k GROUP BY w),
+             v AS (SELECT DISTINCT w, place, i, w[1 : i] AS a, w[i + 1 + d :] AS b
+                   FROM (SELECT w, place, d, unnest(range(len(w) + 1 - d)) AS i FROM c, (VALUES (0), (1)) AS t(d) WHERE len(w) >= 8)),
+             n AS (SELECT DISTINCT w FROM (SELECT w, place, min(place) OVER (PARTITION BY i, a, b) AS head FROM v) WHERE head < place),
+             g AS (SELECT k.doc_id, k.pos, n.w IS NOT NULL AS near, k.place <> c.place OR n.w IS NOT NULL AS gone FROM k JOIN c ON k.w = c.w LEFT JOIN n ON k.w = n.w),
+             d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
+                          (SELECT coalesce(list(pos), []) FROM g WHERE g.doc_id = documents.doc_id AND gone) AS gone,
+                          (SELECT count(*) FROM g WHERE g.doc_id = documents.doc_id AND gone AND near) AS n_near,
+                          (SELECT count(*) FROM g WHERE g.doc_id = documents.doc_id AND NOT gone) AS n_kept FROM documents)
+        SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped, n_near, len(gone) > 0 AND n_kept = 0 AS whole,
+               CASE WHEN text IS NOT NULL THEN sha256(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10))) END AS text_sha256 FROM d
+    """,
 }
