@@ -8,6 +8,7 @@ from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
 from hushframe.llm.jaccard_join import near_groups
 from hushframe.llm.line_dedup import line_report
+from hushframe.llm.sentence_pieces import round_trips
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
 }
 
