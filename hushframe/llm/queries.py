@@ -8,6 +8,7 @@ from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
 from hushframe.llm.jaccard_join import near_groups
 from hushframe.llm.line_dedup import line_report
+from hushframe.llm.quality_crf import fit_on, score_quality
 from hushframe.llm.sentence_pieces import round_trips
 
 
@@ -24,6 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_on(documents, _table(spark, sf_dir, "labels")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
