@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
 from hushframe.llm.jaccard_join import near_groups
+from hushframe.llm.language_gru import identify, train_on
 from hushframe.llm.line_dedup import line_report
 from hushframe.llm.quality_crf import fit_on, score_quality
 from hushframe.llm.sentence_pieces import round_trips
@@ -30,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, fit_on(documents, _table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return identify(documents, train_on(documents))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
