@@ -8,6 +8,7 @@ from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
 from hushframe.llm.jaccard_join import near_groups
 from hushframe.llm.language_gru import identify, train_on
+from hushframe.llm.licence_scan import COPYRIGHT, KNOWN, SPELLINGS, scan_licences
 from hushframe.llm.line_dedup import line_report
 from hushframe.llm.quality_crf import fit_on, score_quality
 from hushframe.llm.sentence_pieces import round_trips
@@ -40,6 +41,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_table(spark, sf_dir, "documents"))
 
@@ -54,12 +59,24 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_licence_scan": op6_licence_scan,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    out = f"regexp_replace(lower({column}), {_quoted(COPYRIGHT)}, '', 'g')"
+    for one, other in SPELLINGS:
+        out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
+    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
 ORACLES = {
     "op1_decontaminate": f"""
         WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -98,4 +115,13 @@ ORACLES = {
         SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped, n_near, len(gone) > 0 AND n_kept = 0 AS whole,
                CASE WHEN text IS NOT NULL THEN sha256(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10))) END AS text_sha256 FROM d
     """,
+    "op6_licence_scan": rf"""
+        WITH k AS (SELECT DISTINCT licence, trim(regexp_replace({_canonical("known")}, '[ \n]+', ' ', 'g')) AS form
+                   FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS t(licence, known)),
+             d AS (SELECT doc_id, {_canonical("text")} AS form FROM documents),
+             u AS (SELECT doc_id, true AS whole, trim(regexp_replace(form, '[ \n]+', ' ', 'g')) AS form FROM d
+                   UNION ALL SELECT doc_id, false, trim(unnest(string_split(form, chr(10)))) FROM d),
+             h AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) FILTER (NOT whole) AS n_lines, bool_or(whole) AS whole FROM u JOIN k USING (form) GROUP BY doc_id)
+        SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_lines, 0) AS n_lines, coalesce(whole, false) AS whole FROM d LEFT JOIN h USING (doc_id)
+    """,
 }
