@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.llm.decontaminate import contamination
 from hushframe.llm.exact_dedup import exact_groups
+from hushframe.llm.html_text import extract
 from hushframe.llm.jaccard_join import near_groups
 from hushframe.llm.language_gru import identify, train_on
 from hushframe.llm.licence_scan import COPYRIGHT, KNOWN, SPELLINGS, scan_licences
@@ -53,6 +54,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,6 +67,7 @@ QUERIES = {
     "op6_licence_scan": op6_licence_scan,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
