@@ -13,6 +13,7 @@ from hushframe.llm.licence_scan import COPYRIGHT, KNOWN, SPELLINGS, scan_licence
 from hushframe.llm.line_dedup import line_report
 from hushframe.llm.quality_crf import fit_on, score_quality
 from hushframe.llm.sentence_pieces import round_trips
+from hushframe.llm.warc import read_records, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_archives(_table(spark, sf_dir, "pages")), payloads=False)
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_licence_scan": op6_licence_scan,
+    "op7_warc": op7_warc,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
@@ -130,4 +136,11 @@ ORACLES = {
              h AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) FILTER (NOT whole) AS n_lines, bool_or(whole) AS whole FROM u JOIN k USING (form) GROUP BY doc_id)
         SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_lines, 0) AS n_lines, coalesce(whole, false) AS whole FROM d LEFT JOIN h USING (doc_id)
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS h FROM pages),
+             f AS (SELECT h, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY h)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (h)
+    """,
 }
