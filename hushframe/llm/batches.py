@@ -6,13 +6,28 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into Python or numpy objects at a time; one longer text is taken alone.
 CHUNK_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and Python; ten thousand long texts at once would fill an executor.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow over batches of bounded size."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def chunked(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose column holds at most limit bytes, or one row."""
     for batch in batches:
@@ -35,4 +50,4 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
         for part in chunked(batches, column, limit):
             yield work(part)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -16,6 +16,7 @@ word by word, and each task keeps the paths of words it has met.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass, field
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.batches import map_chunks
+from hushframe.llm.batches import map_batches, map_chunks
 
 MARK = "▁"
 #: Words and pairs of pieces that a task keeps before it starts anew.
@@ -36,8 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass
 class Model:
-    """A compiled model: pieces with costs, bytes' pieces, and the flags of the normaliser."""
+    """A compiled model: pieces with costs, bytes' pieces, and the flags of the normaliser; name is its file's digest."""
 
+    name: str
     kind: str
     cost: dict[str, float]
     ids: dict[str, int]
@@ -46,6 +48,11 @@ class Model:
     prefix: bool
     longest: int
     rank: dict[str, float] = field(default_factory=dict)
+    #: Of a BPE piece: the two pieces that its last merge joins, and when: (the latest merge within it, its own merge).
+    halves: dict[str, tuple[str, str]] = field(default_factory=dict)
+    when: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: Of the first one or two characters: the length of the longest piece that starts so.
+    reach: dict[str, int] = field(default_factory=dict)
 
 
 def compile_model(path: str) -> Model:
@@ -55,7 +62,8 @@ def compile_model(path: str) -> Model:
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
+        data = f.read()
+    proto.ParseFromString(data)
     trainer, rules = proto.trainer_spec, proto.normalizer_spec
     if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or not trainer.byte_fallback or trainer.model_type not in (1, 2):
         raise ValueError("this model's normaliser or kind is not supported")
@@ -71,14 +79,24 @@ def compile_model(path: str) -> Model:
             surface.append(bytes([int(p.piece[3:5], 16)]))
         else:
             surface.append(p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL else b"")
-    model = Model("unigram" if trainer.model_type == 1 else "bpe", {p: -s for p, (_, s) in normal.items()}, {p: i for p, (i, _) in normal.items()}, byte_ids, surface, rules.add_dummy_prefix, max(map(len, normal)), {p: s for p, (_, s) in normal.items()})
+    model = Model(hashlib.sha256(data).hexdigest(), "unigram" if trainer.model_type == 1 else "bpe", {p: -s for p, (_, s) in normal.items()}, {p: i for p, (i, _) in normal.items()}, byte_ids, surface, rules.add_dummy_prefix, max(map(len, normal)), {p: s for p, (_, s) in normal.items()})
+    for p in normal:
+        model.reach[p[:2]] = max(model.reach.get(p[:2], 0), len(p))
     if model.kind == "bpe":  # a piece that merges can't make is on no path
-        model.cost = {p: 0.0 for p in normal if len(p) == 1 or merges(list(p), model.rank) == [p]}
+        for p in sorted(normal, key=len):
+            steps: list[tuple[str, str]] = []
+            if merges(list(p), model.rank, steps) == [p]:
+                if steps:
+                    model.halves[p] = steps[-1]
+                    model.when[p] = (max(-model.rank[p], *(model.when[x][0] for x in steps[-1])), -model.rank[p])
+                else:
+                    model.when[p] = (-math.inf, -math.inf)
+        model.cost = dict.fromkeys(model.when, 0.0)
     return model
 
 
-def merges(symbols: list[str], rank: dict[str, float]) -> list[str]:
-    """The symbols after all merges: the pair of the highest score first, of equal ones the leftmost."""
+def merges(symbols: list[str], rank: dict[str, float], steps: list[tuple[str, str]] | None = None) -> list[str]:
+    """The symbols after all merges: the pair of the highest score first, of equal ones the leftmost. steps: gets the pairs merged."""
     symbols = list(symbols)
     while len(symbols) > 1:
         best, at = -math.inf, -1
@@ -88,10 +106,15 @@ def merges(symbols: list[str], rank: dict[str, float]) -> list[str]:
                 best, at = score, i
         if at < 0:
             break
+        if steps is not None:
+            steps.append((symbols[at], symbols[at + 1]))
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
     return symbols
 
 
+_NEVER = (math.inf, math.inf)
+
+
 class Encoder:
     """A model's machines, and the shortest paths of the words met so far."""
 
@@ -100,38 +123,91 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words = _Words(self._ids)
 
+    def _edge(self, piece: str, side: int) -> list[str]:
+        """The pieces at one end (0 left, 1 right) of a piece while it is merged, the last first."""
+        out, halves = [piece], self.model.halves
+        while (two := halves.get(out[-1])) is not None:
+            out.append(two[side])
+        return out
+
     def _fits(self, left: str, right: str) -> bool:
-        """Whether the pair machine lets right follow left at no cost."""
+        """Whether the pair machine lets right follow left at no cost: no merge joins their ends while both are made."""
         key = (left, right)
         known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            known = self.pairs[key] = merges(list(left + right), self.model.rank) == [left, right]
-        return known
+        if known is not None:
+            return known
+        when, rank = self.model.when, self.model.rank
+        ends, starts = self._edge(left, 1), self._edge(right, 0)
+        i, j = len(ends) - 1, len(starts) - 1
+        while True:
+            joined = rank.get(ends[i] + starts[j])
+            mine = when[ends[i - 1]] if i else _NEVER
+            other = when[starts[j - 1]] if j else _NEVER
+            # of merges at one time the leftmost goes first: within left, over the border, within right
+            if joined is not None:
+                over = (max(when[ends[i]][0], when[starts[j]][0], -joined), -joined)
+                if over < mine and over <= other:
+                    fits = False
+                    break
+            if not i and not j:
+                fits = True
+                break
+            if mine <= other:
+                i -= 1
+            else:
+                j -= 1
+        if len(self.pairs) >= MEMORY:
+            self.pairs.clear()
+        self.pairs[key] = fits
+        return fits
 
     def path(self, word: str) -> list[str]:
         """The pieces (or uncovered characters) of least cost over a normalised word."""
-        cost, longest, bpe = self.model.cost, self.model.longest, self.model.kind == "bpe"
-        if bpe and word.startswith(MARK + MARK):  # several runs of marks have one score, so pairs don't settle them
+        if self.model.kind == "unigram":
+            return self._least(word)
+        if word.startswith(MARK + MARK):  # several runs of marks have one score, so pairs don't settle them
             return merges(list(word), self.model.rank)
-        n = len(word)
+        return self._finite(word)
+
+    def _finite(self, word: str) -> list[str]:
+        """The only path of finite cost, longest pieces first; a place that leads nowhere is not tried again."""
+        cost, reach, fits, n = self.model.cost, self.model.reach, self._fits, len(word)
+        dead = bytearray(n + 1)
+        pieces: list[str] = []
+        at, size = 0, reach.get(word[:2], 1)
+        while at < n:
+            size = min(size, n - at)
+            while size:
+                piece = word[at : at + size]
+                if piece in cost:
+                    if not dead[at + size] and (not pieces or pieces[-1] not in cost or fits(pieces[-1], piece)):
+                        break
+                elif size == 1:
+                    if not dead[at + 1]:
+                        break
+                size -= 1
+            if size:
+                pieces.append(piece)
+                at += size
+                size = reach.get(word[at : at + 2], 1)
+            else:
+                dead[at] = 1
+                size = len(pieces.pop())
+                at -= size
+                size -= 1
+        return pieces
+
+    def _least(self, word: str) -> list[str]:
+        cost, longest, n = self.model.cost, self.model.longest, len(word)
         best: list[float] = [0.0] + [math.inf] * n
         last: list[str] = [""] * (n + 1)
         uncovered = 1e6  # dearer than any path of pieces
         for end in range(1, n + 1):
             for start in range(max(0, end - longest), end):
                 piece = word[start:end]
-                weight = cost.get(piece)
-                if weight is None:
-                    if start < end - 1:
-                        continue
-                    weight = uncovered
-                total = best[start] + weight
-                if total < best[end] and (not bpe or not start or self._fits(last[start], piece)):
-                    best[end], last[end] = total, piece
-                    if bpe:
-                        break  # the only finite path
+                weight = cost.get(piece, uncovered if start == end - 1 else math.inf)
+                if best[start] + weight < best[end]:
+                    best[end], last[end] = best[start] + weight, piece
         pieces, end = [], n
         while end:
             pieces.append(last[end])
@@ -191,8 +267,20 @@ def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, sent) -> Encoder:
+    """The encoder of a broadcast model: one for each Python worker, so that tasks share the words met so far."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(sent.value)
+    return _encoders[name]
+
+
 def _sent(spark: SparkSession, model: str | Model):
-    return spark.sparkContext.broadcast(compile_model(model) if isinstance(model, str) else model)
+    compiled = compile_model(model) if isinstance(model, str) else model
+    return compiled.name, spark.sparkContext.broadcast(compiled)
 
 
 def encode(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
@@ -201,10 +289,10 @@ def encode(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
     A null text has null ids, an empty one has none. Rows are independent: repeated rows repeat. Other columns are ignored.
     The broadcast model is as large as its vocabulary, whatever the input.
     """
-    sent = _sent(docs.sparkSession, model)
+    name, sent = _sent(docs.sparkSession, model)
 
     def make():
-        encoder = Encoder(sent.value)
+        encoder = _encoder(name, sent)
         byte_ids = np.zeros(len(sent.value.surface), dtype=bool)
         byte_ids[sent.value.byte_ids] = True
 
@@ -221,7 +309,7 @@ def encode(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str | Model = MODEL) -> DataFrame:
     """encoded (with a column ids) with a column decoded: the text of each row's ids; null ids give null."""
-    sent = _sent(encoded.sparkSession, model)
+    _, sent = _sent(encoded.sparkSession, model)
 
     def run(batches):
         compiled = sent.value
@@ -237,7 +325,7 @@ def decode(encoded: DataFrame, model: str | Model = MODEL) -> DataFrame:
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return map_batches(encoded, run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trips(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
