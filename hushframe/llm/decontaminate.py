@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.batches import map_chunks
+from hushframe.llm.shared import broadcast_if_small, stored
 
 #: Words in a window; an item with fewer is one window.
 N = 13
@@ -164,8 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     found = contamination(docs, benchmark)
     if remove == "documents":
-        bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+        bad = stored(found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+        return docs.join(broadcast_if_small(bad), docs["doc_id"] == F.col("__bad"), "left_anti")
     cut = F.udf(lambda text, spans: _cut(text.encode(), [s.asDict() for s in spans]).decode() if text and spans else text, "string", useArrow=True)
     hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans"))
     joined = docs.join(hit, docs["doc_id"] == F.col("__hit"), "left")

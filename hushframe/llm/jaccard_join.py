@@ -9,10 +9,13 @@ Every pair with a Jaccard similarity of 0.75 or more is found, up to pairs whose
    ``n - ceil(0.75 n) + l`` tokens share at least l tokens. The second scan picks each document's l: a longer prefix
    costs more postings, but demands more shared tokens, so fewer candidates need verification; with the estimated
    counts the cost of each l is known, and the cheapest is taken.
-3. Prefix tokens go to owner tasks, packed by ranges of hashes. Owners keep tokens that two nodes share, each with the
-   node that has the widest-spread tokens as centre. Tokens on the broadcast list are not sent: their centre is in the list.
-4. Nodes are verified against their centres first, and components built. Only then pairs of different components
-   that share min(l) tokens are joined and verified; so a group of thousands of near copies never becomes all its pairs.
+3. Prefix tokens go to owner tasks, packed by ranges of hashes; owners keep tokens that two nodes share. Tokens on the
+   broadcast list are shared anyway and are not sent to owners.
+4. Every token's centre is the node with the smallest part of tokens that nobody shares: in a group of near copies that is
+   the one least edited, to which all others that can have links at all are similar. Nodes are verified against their
+   tokens' centres, and components built.
+5. Only then pairs of different components are joined, and only those that can still share the tokens they must;
+   so a group of thousands of near copies never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.batches import map_chunks
+from hushframe.llm.batches import chunked, map_batches, map_chunks
 from hushframe.llm.components import connected
-from hushframe.llm.shared import join_per_key, stored
+from hushframe.llm.shared import broadcast_if_small, join_per_key, stored
 from hushframe.llm.shingles import shingle_sets
 
 #: Similarity is at least 75 / 100.
@@ -45,7 +48,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.bina
 
 
 def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True) & 0x0FFFFFFFFFFFFFFF
+    return int.from_bytes(digest[:8], "little") >> 1
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -60,8 +63,6 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summaries(batches):
     """A row for each document, and rows (token, count, node) for shingles that three texts of a window share."""
-    from hushframe.llm.batches import chunked
-
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
     nodes: list[int] = []
@@ -114,9 +115,12 @@ def choose_length(n: int, frequent: np.ndarray) -> int:
     return int(steps[np.argmin(in_prefix + met * (1 + VERIFY / steps))])
 
 
-def _prefixes(frequent: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int):
-    """Packed postings (bucket, payload) and, for frequent tokens and documents, plain rows."""
-    known, counts, centres = frequent
+def _prefixes(frequent: tuple[np.ndarray, np.ndarray], buckets: int, pack: bool):
+    """pack: postings packed by bucket (bucket, payload); else a row for each document, and one for each of its frequent tokens.
+
+    The postings are made in a scan of their own, as they go straight to the owners and are stored nowhere.
+    """
+    known, counts = frequent
     shift = np.uint64(64 - buckets.bit_length() + 1)
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("l", pa.int64()), ("token", pa.int64())])
 
@@ -126,8 +130,6 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int)
         return pa.RecordBatch.from_arrays([pa.array(c, t) if len(c) else pa.nulls(k, t) for c, t in cols], schema=schema)
 
     def run(batches):
-        from hushframe.llm.batches import chunked
-
         seen: set[bytes] = set()
         tokens, labels, size = [], [], 0
 
@@ -156,13 +158,13 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int)
                 length = n - needed(n) + least
                 rare = x[~hot][:length]
                 node = _node(digest)
-                # the more its tokens are spread, the likelier a node is the origin of copies: 0 comes first
-                spread = min(15, int(16 * len(where) / n))
-                label = (15 - spread) << 59 | node >> 1
+                label = node
+                if pack:
+                    tokens.append(rare)
+                    labels.append(np.full(len(rare), label, dtype=np.int64))
+                    size += len(rare)
+                    continue
                 about.append((node, label, n, least))
-                tokens.append(rare)
-                labels.append(np.full(len(rare), label, dtype=np.int64))
-                size += len(rare)
                 shared += [(label, int(known[i].view(np.int64))) for i in where[: length - len(rare)]]
             if about:
                 node, label, n, least = zip(*about)
@@ -220,7 +222,23 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (label, tokens) are similar."""
     a, b = (sets.select(F.col("label").alias(x), F.col("tokens").alias(f"set_{x}")) for x in "ab")
-    return map_chunks(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), "set_a", lambda: _similar, "a long, b long", 8 << 20)
+    return map_chunks(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), "set_a", lambda: _similar, "a long, b long", 8 << 20).distinct()
+
+
+def _sized() -> Column:
+    """Whether sizes n_a and n_b allow similarity."""
+    return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+
+
+def _must() -> Column:
+    """Tokens that prefixes of similar sets share at least, by n and l of both.
+
+    Similar sets share at least 3/7 of their sizes' sum. Of these at most n - prefix lie behind the prefix that ends
+    first; all others are in both prefixes. So sets of like sizes must share far more than the smaller l.
+    """
+    overlap = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+    behind = F.greatest(*[F.ceil(PERCENT * F.col(f"n_{x}") / 100) - F.col(f"l_{x}") for x in "ab"])
+    return F.greatest(F.least("l_a", "l_b").cast("long"), overlap - behind)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -233,51 +251,63 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    scanned = stored(rows.mapInArrow(_summaries, "doc_id long, n long, digest binary, token long, count long, node long"), "join-sets")
+    scanned = stored(map_batches(rows, _summaries, "doc_id long, n long, digest binary, token long, count long, node long"), "join-sets")
     own = scanned.filter("n IS NOT NULL").select("doc_id", "n", "digest", "node")
     groups = stored(own.filter("n > 0").groupBy("digest", "node", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "join-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
 
-    estimates = scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"), F.min("node").alias("centre")).filter(F.col("count") * FREQUENT > total)
+    estimates = scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") * FREQUENT > total)
     listed = estimates.toPandas()  # fewer than FREQUENT rows, as counts add up to total at most
     known = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], listed["count"].to_numpy(np.int64)[order], listed["centre"].to_numpy(np.int64)[order]))
+    sent = spark.sparkContext.broadcast((known[order], listed["count"].to_numpy(np.int64)[order]))
     buckets = 1 << max(0, math.ceil(math.log2(max(1, 0.3 * total / OWNED))))
 
-    def prefixes(batches):
-        return _prefixes(sent.value, buckets)(batches)
+    def described(batches):
+        return _prefixes(sent.value, buckets, False)(batches)
 
-    made = stored(rows.mapInArrow(prefixes, "bucket int, payload binary, node long, label long, n long, l long, token long"), "join-prefixes")
+    def postings(batches):
+        return _prefixes(sent.value, buckets, True)(batches)
+
+    schema = "bucket int, payload binary, node long, label long, n long, l long, token long"
+    made = stored(map_batches(rows, described, schema).drop("bucket", "payload"), "join-prefixes")
     about = stored(made.filter("node IS NOT NULL").groupBy("node", "n").agg(F.min("label").alias("label"), F.min("l").alias("l")), "join-nodes")
-    packed = made.filter("payload IS NOT NULL").select("bucket", "payload").repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket")
-    rare = packed.mapInArrow(_owned, "token long, label long")
+    packed = map_batches(rows, postings, schema).select("bucket", "payload").repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket")
+    rare = map_batches(packed, _owned, "token long, label long")
     frequent = made.filter("token IS NOT NULL").select("token", "label").distinct()
     live = stored(rare.unionByName(frequent), "join-postings")
 
-    # first: every node against the first node of each of its tokens
-    centres = live.groupBy("token").agg(F.min("label").alias("a"), F.count(F.lit(1)).alias("f")).filter("f > 1")
+    # first: every node against the centre of each of its tokens; rank: the unshared part of a node's prefix, then its hash
+    prefix = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + F.col("l")
+    counts = live.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    unshared = F.greatest(F.lit(0), F.floor(1023 * (1 - F.col("c") / prefix))).cast("long")
+    meta = stored(about.join(counts, "label").select("label", "n", "l", (F.call_function("shiftleft", unshared, F.lit(52)) + F.col("label").bitwiseAND(F.lit((1 << 52) - 1))).alias("rank")), "join-ranks")
+    ranked = live.join(broadcast_if_small(meta.select("label", "rank")), "label")
+    centres = ranked.groupBy("token").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("f")).filter("f > 1")
     n_live = live.count()
-    spokes = join_per_key(live, centres, ["token"], "f", n_live).select("a", F.col("label").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    meta = about.select("label", "n", "l")
-
-    def plausible(pairs: DataFrame, part: int) -> DataFrame:
-        """Pairs whose sizes allow similarity and that share 1/part of the smaller l."""
-        a, b = (meta.select(F.col("label").alias(x), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}")) for x in "ab")
-        sized = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-        return pairs.join(a, "a").join(b, "b").filter(sized & (part * F.col("k") >= F.least("l_a", "l_b"))).select("a", "b")
-
-    first = stored(plausible(spokes, 4), "join-candidates")
+    named = meta.select(F.col("rank").alias("first"), F.col("label").alias("a"))
+    tokens_of = join_per_key(live, centres, ["token"], "f", n_live).groupBy("first", F.col("label").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    spokes = tokens_of.join(broadcast_if_small(named), "first").filter("a <> b").select("a", "b", "k")
+    sides = [meta.select(F.col("label").alias(x), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}")) for x in "ab"]
+    # a centre need not stand for all the tokens that it shares with a node, so a quarter will do
+    first = stored(spokes.join(broadcast_if_small(sides[0]), "a").join(broadcast_if_small(sides[1]), "b").filter(_sized() & (4 * F.col("k") >= _must())).select("a", "b"), "join-candidates")
     links = stored(_verified(first, _sets_of(rows, first, about, groups)), "join-links")
     parts = connected(links)
 
     # then: pairs of different components
-    placed = live.join(parts, live["label"] == parts["node"], "left").select("token", "label", F.coalesce("component", "label").alias("component"))
-    mixed_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = stored(placed.join(mixed_tokens, "token"), "join-open")
-    x, y = (open_.select("token", F.col("label").alias(v), F.col("component").alias(f"c_{v}")) for v in "ab")
-    shared = x.join(y, "token").filter("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    second = stored(plausible(shared, 1), "join-candidates")
+    placed = live.join(broadcast_if_small(parts), live["label"] == parts["node"], "left").select("token", "label", F.coalesce("component", "label").alias("component"))
+    # of a token's components the largest (major) is only met from outside: its own pairs are never looked at
+    sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    majors = sizes.groupBy("token").agg(F.max_by("component", "size").alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("f")).filter("parts > 1").drop("parts")
+    met = stored(join_per_key(placed, majors, ["token"], "f", n_live).drop("f"), "join-open")
+    # c: tokens that a node shares with other components
+    able = met.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(meta.select("label", "n", "l"), "label").select("label", *[F.col(w).cast("int").alias(w) for w in ("n", "l", "c")])
+    open_ = met.join(broadcast_if_small(stored(able, "join-able")), "label")
+    x = open_.filter("component <> major").select("token", F.col("label").alias("a"), F.col("component").alias("p_a"), "major", *[F.col(w).alias(f"{w}_a") for w in ("n", "l", "c")])
+    y = open_.select("token", F.col("label").alias("b"), F.col("component").alias("p_b"), *[F.col(w).alias(f"{w}_b") for w in ("n", "l", "c")])
+    possible = (F.col("p_a") != F.col("p_b")) & ((F.col("p_b") == F.col("major")) | (F.col("a") < F.col("b"))) & _sized() & (F.least("c_a", "c_b") >= _must())
+    shared = x.join(y, "token").filter(possible).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _must().alias("must")).agg(F.count(F.lit(1)).alias("k"))
+    second = stored(shared.filter("k >= must").select("a", "b"), "join-candidates")
     if not second.isEmpty():
         more = stored(_verified(second, _sets_of(rows, second, about, groups)), "join-links")
         if not more.isEmpty():
@@ -307,8 +337,9 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, about: DataFrame, groups: DataFr
 
         return sets
 
-    chosen = rows.join(ids.join(about.select("label", "node"), "label"), "doc_id").select("label", "node", "text")
-    return stored(map_chunks(chosen, "text", build, "label long, tokens binary").dropDuplicates(["label"]), "join-wanted")
+    wanted_ids = stored(ids.join(about.select("label", "node"), "label"), "join-wanted-ids")
+    chosen = rows.join(broadcast_if_small(wanted_ids), "doc_id").select("label", "node", "text")
+    return stored(map_chunks(chosen, "text", build, "label long, tokens binary"), "join-wanted")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -317,4 +348,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows of one doc_id are one document here; rows without doc_id stay.
     """
     gone = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(broadcast_if_small(stored(gone, "join-gone")), docs["doc_id"] == F.col("__gone"), "left_anti")

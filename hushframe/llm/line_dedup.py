@@ -3,11 +3,11 @@
 A line is its words (runs without white space). Two lines are the same if their words are, and near if one word
 inserted, deleted or replaced turns one into the other (only lines of NEAR_WORDS words or more can be near).
 
-1. One scan writes each line's 128-bit hash and the hashes of its first and last half. Equal lines become one class,
-   whose place is its earliest occurrence. Of two near lines one half is equal, so only lines that meet another in a
-   half go on; nothing else can be lost here.
-2. Those lines emit their neighbourhood: for every word the key of the line without it, and for every gap the key of the
-   line itself split there; a key is the hash of the words before, those behind, and the place. Near lines meet in a key.
+1. One scan writes each line's 128-bit hash and hashes of three quarters of its words: the first, the last, and two
+   from both ends. Equal lines become one class, whose place is its earliest occurrence. Near lines agree in one of
+   the four, so only lines that meet another go on, and the one that they meet in says in which quarter the edit is.
+2. Those lines emit their neighbourhood there: for every word the key of the line without it, and for every gap the key
+   of the line itself split there; a key is the hash of the words before, those behind, and the place. Near lines meet.
 3. Of each key the earliest line is taken (an aggregation, so a key that millions of lines share stays one row for
    each task), and the later line is compared with it word by word.
 4. The earliest of equal or near lines stays; the others' places are cut from their documents.
@@ -20,20 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.shared import join_per_key, stored
+from hushframe.llm.shared import broadcast_if_small, join_per_key, stored
 
 #: Lines with fewer words are left alone.
 MIN_WORDS = 5
 #: Lines with fewer words are the same only if equal.
 NEAR_WORDS = 8
-#: Rows that may be broadcast; beyond that the join is a shuffle.
-BROADCAST_ROWS = 500_000
 
 _PLACE = "decimal(38,0)"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09\x0B-\x0D]+"), lambda w: w != "")
+_GAP = r"[\x20\x09\x0B-\x0D]+"
 
 
 def _place(doc_id: Column, pos: Column) -> Column:
@@ -41,21 +38,43 @@ def _place(doc_id: Column, pos: Column) -> Column:
     return (F.coalesce(doc_id, F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos).cast(_PLACE)
 
 
+def _one_blank(text: Column) -> Column:
+    """text with one blank for each run of white space within a line; most texts have no other."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, _GAP, " ")).otherwise(text)
+
+
+def _n_words(line: Column) -> Column:
+    """Words of a trimmed line with single blanks."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return exploded.select("doc_id", "pos", words_of(F.col("line")).alias("words")).filter(F.size("words") >= MIN_WORDS)
+    """(doc_id, pos, line) of every line, with single blanks."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_one_blank(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+
 
+def _first(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
-def _half(n: Column) -> Column:
-    """Words in a half of a line whose longer partner has n words, rounded down to two binary digits."""
-    c = F.floor((n - 1) / 2).cast("int")
-    shift = F.greatest(F.lit(0), F.length(F.bin(c)) - 2)
-    unit = F.pow(F.lit(2), shift).cast("int")
-    return F.floor(c / unit).cast("int") * unit
 
+def _last(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), -n)
 
-def _with_broadcast(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+def _rounded(m: Column) -> Column:
+    """m rounded down to about two binary digits, so lines of like lengths are cut alike."""
+    unit = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(m, F.lit(1)))).cast("int") - 1))
+    return F.floor(m / unit).cast("int") * unit
+
+
+def _cuts(m: Column) -> list[tuple[Column, Column]]:
+    """For each of the four ways: how many words from the start and from the end of lines whose longer has m + 1 words.
+
+    Near lines have a common start and a common end of at least m words together. Whatever the length of the start, one
+    of the ways is within both: the cases are start >= 3/4 m; >= 1/2; >= 1/4; less.
+    """
+    one, two, three = F.floor(m / 4).cast("int"), F.floor(m / 2).cast("int"), F.floor(3 * m / 4).cast("int")
+    return [(three, F.lit(0)), (two, one), (one, two), (F.lit(0), three)]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -65,44 +84,51 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     also if the earlier one goes itself. Null texts have no lines; lines under MIN_WORDS words never go. Rows that
     repeat a doc_id count as one document: their lines share positions. An empty table gives no rows.
     """
-    n, words = F.size("words"), F.col("words")
-    sides = []
-    for half in (_half(n), _half(n + 1)):  # as the longer line and as the shorter one
-        for side, part in ((0, F.slice(words, F.lit(1), half)), (1, F.slice(words, n - half + 1, half))):
-            sides.append(F.when(n >= NEAR_WORDS, F.xxhash64(F.lit(side), half, part)))
-    scanned = _lines(docs).select("doc_id", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), *[s.alias(f"half{i}") for i, s in enumerate(sides)])
-    log = stored(scanned, "lines")
+    n, line = F.col("n"), F.col("line")
+    counted = _lines(docs).withColumn("n", _n_words(line)).filter(n >= MIN_WORDS)
+    sized = counted.withColumns({"longer": F.when(n >= NEAR_WORDS, _rounded(n - 1)), "shorter": F.when((n >= NEAR_WORDS) & (_rounded(n) != _rounded(n - 1)), _rounded(n))})
+    ways = []
+    for m in (F.col("longer"), F.col("shorter")):  # as the longer line of a pair, and as the shorter one where that differs
+        for way, (start, end) in enumerate(_cuts(m)):
+            ways.append(F.when(m.isNotNull(), F.xxhash64(F.lit(way), m, _first(line, start), _last(line, end))).alias(f"part{len(ways)}"))
+    log = stored(sized.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *ways), "lines")
     total = log.count()
 
-    # a half that only one line has leads nowhere
-    halves = log.select("h1", F.explode(F.array_distinct(F.array(*[f"half{i}" for i in range(4)]))).alias("half")).filter("half IS NOT NULL")
-    meet = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count(F.lit(1)).alias("n_half")).filter("low <> high").select("half", "n_half")
-    halves_total = max(1, 2 * total)
-    some = join_per_key(halves, meet, ["half"], "n_half", halves_total).select("h1").distinct()
+    # a part that only one line has leads nowhere
+    parts = log.select("h1", F.posexplode(F.array(*[f"part{i}" for i in range(8)])).alias("way", "part")).filter("part IS NOT NULL")
+    meet = stored(parts.groupBy("part").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count(F.lit(1)).alias("n_part")).filter("low <> high").select("part", "n_part"), "line-parts")
+    known = broadcast_if_small(meet)
+    met_parts = parts.join(known, "part") if known is not meet else join_per_key(parts, meet, ["part"], "n_part", 4 * max(1, total))
+    some = met_parts.groupBy("h1", "way").agg(F.count(F.lit(1)).alias("_")).drop("_")
     classes = stored(log.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"), F.count(F.lit(1)).alias("copies")), "line-classes")
 
     two31 = F.lit(1 << 31).cast("decimal(10,0)")
     at = F.col("place")
-    firsts = stored(classes.join(some, "h1", "left_semi").select("h1", "h2", "place", ((at - F.pmod(at, two31)) / two31).cast("long").alias("doc_id"), F.pmod(at, two31).cast("int").alias("pos")), "line-candidates")
-    lines = _lines(docs).filter(F.size("words") >= NEAR_WORDS).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    wanted = stored(lines.join(_with_broadcast(firsts), ["doc_id", "pos"]).select("h1", "h2", "place", "words").dropDuplicates(["h1", "h2"]), "line-words")
-
-    before = F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: F.xxhash64(F.slice("words", F.lit(1), i)))
-    behind = F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: F.xxhash64(F.slice("words", i + 1, F.size("words"))))
-    chains = wanted.select("h1", "h2", "place", F.size("words").alias("n"), before.alias("before"), behind.alias("behind"))
-    deleted = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(i, F.get("before", i), F.get("behind", i + 1)).alias("key")))
-    gaps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(i.alias("i"), F.xxhash64(i, F.get("before", i), F.get("behind", i)).alias("key")))
-    keys = chains.select("h1", "h2", "place", F.explode(F.concat(deleted, gaps)).alias("v")).select("h1", "h2", "place", "v.i", "v.key")
+    wanted_ways = some.groupBy("h1").agg(F.collect_set("way").alias("ways"))
+    firsts = stored(classes.join(wanted_ways, "h1").select("h1", "h2", "place", "ways", ((at - F.pmod(at, two31)) / two31).cast("long").alias("doc_id"), F.pmod(at, two31).cast("int").alias("pos")), "line-candidates")
+    lines = _lines(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    wanted = stored(lines.join(broadcast_if_small(firsts), ["doc_id", "pos"]).select("h1", "h2", "place", "ways", "line", _n_words(line).alias("n")), "line-words")
+
+    m = F.when(F.col("way") < 4, _rounded(n - 1)).otherwise(_rounded(n))
+    ranges = F.array(*[F.struct(start.alias("lo"), (n - end).alias("hi")) for start, end in _cuts(m)])
+    spans = wanted.withColumn("way", F.explode("ways")).select("h1", "h2", "place", "line", "n", F.get(ranges, F.pmod("way", F.lit(4))).alias("r")).filter("r.lo <= r.hi")
+
+    def key_of(i: Column, skip: int) -> Column:
+        return F.xxhash64(i, _first(line, i), _last(line, n - i - skip))
+
+    deleted = F.transform(F.sequence(F.col("r.lo"), F.least(F.col("r.hi"), n - 1)), lambda i: F.struct(i.alias("i"), key_of(i, 1).alias("key")))
+    gaps = F.transform(F.sequence(F.col("r.lo"), F.col("r.hi")), lambda i: F.struct(i.alias("i"), key_of(i, 0).alias("key")))
+    every = F.when(F.col("r.lo") <= n - 1, F.concat(deleted, gaps)).otherwise(gaps)
+    keys = stored(spans.select("h1", "h2", "place", F.explode(every).alias("v")).select("h1", "h2", "place", "v.i", "v.key"), "line-variants")
     heads = stored(keys.groupBy("key").agg(F.min("place").alias("head"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n_key")).filter("head <> last").drop("last"), "line-keys")
-    n_keys = heads.agg(F.sum("n_key")).first()[0] or 0
-    met = join_per_key(keys, heads, ["key"], "n_key", n_keys).filter("head < place")
+    met = join_per_key(keys, heads, ["key"], "n_key", keys.count()).filter("head < place")
     pairs = met.groupBy("h1", "h2", "i", "head").agg(F.count(F.lit(1)).alias("_")).drop("_")
 
-    mine, other = wanted.select("h1", "h2", F.col("words").alias("a")), wanted.select(F.col("place").alias("head"), F.col("words").alias("b"))
-    i, len_a, len_b = F.col("i"), F.size("a"), F.size("b")
-    skip_a, skip_b = F.when(len_a >= len_b, 1).otherwise(0), F.when(len_b >= len_a, 1).otherwise(0)
-    same = (F.slice("a", F.lit(1), i) == F.slice("b", F.lit(1), i)) & (F.slice("a", i + 1 + skip_a, len_a) == F.slice("b", i + 1 + skip_b, len_b))
-    near = pairs.join(mine, ["h1", "h2"]).join(other, "head").filter((F.abs(len_a - len_b) <= 1) & same).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    mine, other = wanted.select("h1", "h2", F.col("line").alias("a"), F.col("n").alias("n_a")), wanted.select(F.col("place").alias("head"), F.col("line").alias("b"), F.col("n").alias("n_b"))
+    i, n_a, n_b = F.col("i"), F.col("n_a"), F.col("n_b")
+    skip_a, skip_b = F.when(n_a >= n_b, 1).otherwise(0), F.when(n_b >= n_a, 1).otherwise(0)
+    same = (_first(F.col("a"), i) == _first(F.col("b"), i)) & (_last(F.col("a"), n_a - i - skip_a) == _last(F.col("b"), n_b - i - skip_b))
+    near = pairs.join(mine, ["h1", "h2"]).join(other, "head").filter((F.abs(n_a - n_b) <= 1) & same).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     gone = stored(classes.join(near, ["h1", "h2"], "left").filter("copies > 1 OR near").select("h1", "h2", "place", "copies", F.coalesce("near", F.lit(False)).alias("near")), "lines-gone")
     found = join_per_key(log.select("doc_id", "pos", "h1", "h2"), gone, ["h1", "h2"], "copies", total)
@@ -115,11 +141,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     __whole: every line of MIN_WORDS words or more went, and there was one; what is left says nothing new.
     """
     by_doc = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("doc_id", "__doc")
-    gone = _with_broadcast(stored(by_doc, "lines-by-document"))
+    gone = broadcast_if_small(stored(by_doc, "lines-by-document"))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & F.col("__gone").isNotNull(), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    substantial = F.exists(kept, lambda x: F.size(words_of(x)) >= MIN_WORDS)
+    substantial = F.exists(kept, lambda x: _n_words(F.trim(_one_blank(x))) >= MIN_WORDS)
     hit = F.col("__gone").isNotNull()
     return joined.select(
         *[docs[c] for c in docs.columns if c != "text"],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.batches import map_chunks
+from hushframe.llm.batches import chunked, map_batches, map_chunks
 from hushframe.llm.shingles import word_hashes
 
 #: The sample that it is fitted on: so many labelled documents of at most so many bytes.
@@ -204,11 +204,9 @@ def drop_low_quality(docs: DataFrame, field: Field) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
-        from hushframe.llm.batches import chunked
-
         fitted = sent.value
         for batch in chunked(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(fitted.quality(texts) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

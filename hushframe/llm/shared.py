@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than one in HOT_SHARE of all rows; so there are fewer hot keys than that.
 HOT_SHARE = 1000
 
+#: Rows (of a few numbers each) that may be broadcast once they are counted; beyond that the join is a shuffle.
+BROADCAST_ROWS = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one only where none is named (tests)."""
@@ -43,3 +46,8 @@ def join_per_key(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     of_hot = rows.join(hot, keys, "inner")
     of_cold = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return of_hot.unionByName(of_cold)
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast in a join if it was counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table

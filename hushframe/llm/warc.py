@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.batches import chunked
+from hushframe.llm.batches import chunked, map_batches
 from hushframe.llm.shared import broadcast_if_small, fresh_path, join_per_key, stored
 
 #: Smaller payloads are always stored.
@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
             out.close()
 
     ready = rows.join(broadcast_if_small(revisits), ["page_id", "digest"], "left")
-    index = ready.mapInArrow(write, "page_id long, url string, digest string, record_type string, file string, offset long, length long")
+    index = map_batches(ready, write, "page_id long, url string, digest string, record_type string, file string, offset long, length long")
     return stored(index, "warc-index").withColumn("folder", F.lit(folder))
 
 
@@ -161,5 +161,5 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    out = places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    out = map_batches(places, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
