@@ -14,8 +14,8 @@ Every pair with a Jaccard similarity of 0.75 or more is found, up to pairs whose
 4. Every token's centre is the node with the smallest part of tokens that nobody shares: in a group of near copies that is
    the one least edited, to which all others that can have links at all are similar. Nodes are verified against their
    tokens' centres, and components built.
-5. Only then pairs of different components are joined, and only those that can still share the tokens they must;
-   so a group of thousands of near copies never becomes all its pairs.
+5. Only then pairs of different components are joined, and only at tokens behind which both still have the tokens that
+   they must share (rare tokens come first); so a group of thousands of near copies never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -299,15 +299,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # of a token's components the largest (major) is only met from outside: its own pairs are never looked at
     sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     majors = sizes.groupBy("token").agg(F.max_by("component", "size").alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("f")).filter("parts > 1").drop("parts")
-    met = stored(join_per_key(placed, majors, ["token"], "f", n_live).drop("f"), "join-open")
-    # c: tokens that a node shares with other components
-    able = met.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(meta.select("label", "n", "l"), "label").select("label", *[F.col(w).cast("int").alias(w) for w in ("n", "l", "c")])
-    open_ = met.join(broadcast_if_small(stored(able, "join-able")), "label")
-    x = open_.filter("component <> major").select("token", F.col("label").alias("a"), F.col("component").alias("p_a"), "major", *[F.col(w).alias(f"{w}_a") for w in ("n", "l", "c")])
-    y = open_.select("token", F.col("label").alias("b"), F.col("component").alias("p_b"), *[F.col(w).alias(f"{w}_b") for w in ("n", "l", "c")])
-    possible = (F.col("p_a") != F.col("p_b")) & ((F.col("p_b") == F.col("major")) | (F.col("a") < F.col("b"))) & _sized() & (F.least("c_a", "c_b") >= _must())
-    shared = x.join(y, "token").filter(possible).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _must().alias("must")).agg(F.count(F.lit(1)).alias("k"))
-    second = stored(shared.filter("k >= must").select("a", "b"), "join-candidates")
+    met = stored(join_per_key(placed, majors, ["token"], "f", n_live), "join-open")
+    # a node's open tokens, those of fewest nodes first; behind a pair's first common token, in both, are all that they share
+    kinds = met.groupBy("label").agg(F.first("component").alias("component"), F.array_sort(F.collect_list(F.struct("f", "token", "major"))).alias("open"))
+    able = stored(kinds.join(meta.select("label", *[F.col(w).cast("int").alias(w) for w in ("n", "l")]), "label"), "join-able")
+    placed_tokens = able.select("label", "component", "n", "l", F.size("open").alias("c"), F.posexplode("open").alias("pos", "o"))
+    open_ = placed_tokens.select("label", "component", "n", "l", (F.col("c") - F.col("pos")).alias("tail"), "o.token", "o.major")
+    x = open_.filter("component <> major").select("token", F.col("label").alias("a"), F.col("component").alias("p_a"), "major", *[F.col(w).alias(f"{w}_a") for w in ("n", "l", "tail")])
+    y = open_.select("token", F.col("label").alias("b"), F.col("component").alias("p_b"), *[F.col(w).alias(f"{w}_b") for w in ("n", "l", "tail")])
+    possible = (F.col("p_a") != F.col("p_b")) & ((F.col("p_b") == F.col("major")) | (F.col("a") < F.col("b"))) & _sized() & (F.least("tail_a", "tail_b") >= _must())
+    meets = x.join(y, "token").filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _must().alias("must")).distinct()
+    own_a, own_b = (able.select(F.col("label").alias(w), F.col("open.token").alias(f"open_{w}")) for w in "ab")
+    second = stored(meets.join(own_a, "a").join(own_b, "b").filter(F.size(F.array_intersect("open_a", "open_b")) >= F.col("must")).select("a", "b"), "join-candidates")
     if not second.isEmpty():
         more = stored(_verified(second, _sets_of(rows, second, about, groups)), "join-links")
         if not more.isEmpty():
