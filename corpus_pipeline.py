@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.decontaminate import decontaminate
 from hushframe.llm.jaccard_join import drop_near_copies
-from hushframe.llm.line_dedup import drop_repeated_lines
+from hushframe.llm.line_dedup import cut_repeated_lines
 from hushframe.llm.quality_crf import drop_low_quality, fit_on
 from hushframe.llm.sentence_pieces import MODEL, decode, encode
 from hushframe.llm.shared import stored
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that an earlier document or line has, up to one word, and without documents that had nothing else."""
-    return drop_repeated_lines(docs)
+    """Without lines that an earlier document or line has, up to one word, and without documents of which only white space is left."""
+    return cut_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

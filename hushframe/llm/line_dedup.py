@@ -136,9 +136,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines cut from text, and columns __n_lines, __n_dropped, __n_near and __whole.
+    """docs with repeated lines cut from text, and columns __n_lines, __n_dropped, __n_near, __whole and __blank.
 
-    __whole: every line of MIN_WORDS words or more went, and there was one; what is left says nothing new.
+    __whole: every line of MIN_WORDS words or more went, and there was one; shorter lines, which were never compared, may
+    be left. __blank: a line went, and nothing but white space is left.
     """
     by_doc = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("doc_id", "__doc")
     gone = broadcast_if_small(stored(by_doc, "lines-by-document"))
@@ -154,6 +155,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
         F.coalesce("__near", F.lit(0)).cast("long").alias("__n_near"),
         F.coalesce(hit & ~substantial, F.lit(False)).alias("__whole"),
+        F.coalesce(hit & ~F.exists(kept, lambda x: F.trim(_one_blank(x)) != ""), F.lit(False)).alias("__blank"),
     )
 
 
@@ -163,8 +165,16 @@ def line_report(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_near").alias("n_near"), F.col("__whole").alias("whole"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated lines, and without documents of which nothing of substance is left. Columns stay; n_chars, if there, follows text."""
-    done = deduplicated(docs).filter("NOT __whole")
-    out = done.select(*docs.columns)
+def _without(docs: DataFrame, flag: str) -> DataFrame:
+    out = deduplicated(docs).filter(~F.col(flag)).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def cut_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs without repeated lines, and without documents of which nothing but white space is left. Columns stay; n_chars, if there, follows text."""
+    return _without(docs, "__blank")
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """As cut_repeated_lines, but documents that are left with only lines under MIN_WORDS words go too, unique or not."""
+    return _without(docs, "__whole")

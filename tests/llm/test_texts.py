@@ -6,7 +6,9 @@ import re
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hushframe.llm import decontaminate as dc
 from hushframe.llm.components import connected
 from hushframe.llm.exact_dedup import drop_exact_copies, exact_groups
@@ -183,3 +185,19 @@ def test_repeated_lines_match_brute_force(spark, seed):
         kept = None if t is None else [x for p, x in enumerate(t.split("\n")) if (i, p) not in got]
         assert left[i] == (None if t is None else "\n".join(kept), bool(t and any(g[0] == i for g in got)) and not any(len(x.split()) >= 5 for x in kept))
     assert drop_repeated_lines(frame(spark, texts)).count() == sum(not w for _, w in left.values())
+
+
+def test_short_lines_keep_their_document(spark):
+    shared = "Licensed under CC BY-NC 4.0."
+    texts = [shared, "roses are red\nviolets are blue\n" + shared, shared + "\n\n \t", "\u8fd9\u662f\u4e00\u7bc7\u6587\u7ae0\n" + shared, "def f():\n\treturn 1\n" + shared, " \n", None]
+    gone = brute_lines(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        kept = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
+        if kept is None or kept.strip() or not any(g[0] == i for g in gone):
+            want[i] = kept
+    assert set(want) == {0, 1, 3, 4, 5, 6}
+    docs = frame(spark, texts).withColumn("n_chars", F.lit(9))
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {i: (t, None if t is None else len(t)) for i, t in want.items()}
