@@ -33,9 +33,27 @@ _PLACE = "decimal(38,0)"
 _GAP = r"[\x20\x09\x0B-\x0D]+"
 
 
-def _place(doc_id: Column, pos: Column) -> Column:
-    """Documents in order of doc_id (null last), lines by position."""
-    return (F.coalesce(doc_id, F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos).cast(_PLACE)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __at, the place of a row's first line: each row has its own, in order of doc_id (null last).
+
+    If rows share a doc_id or have none, the table is written to the shared folder with a number for each row, counted on
+    from partition to partition, which tells them apart.
+    """
+    doc_id, lines = F.col("doc_id").cast("long"), F.lit(1 << 31).cast("decimal(10,0)")
+    shared = docs.select(doc_id.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
+    if shared.limit(1).count() == 0:
+        return docs.withColumn("__at", (doc_id.cast("decimal(20,0)") * lines).cast(_PLACE))
+    copy = stored(docs.withColumn("__number", F.monotonically_increasing_id()), "line-rows")
+    part, within = F.call_function("shiftright", F.col("__number"), F.lit(33)), F.col("__number").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, rows = [], 0
+    for k, n in sorted(map(tuple, copy.groupBy(part).agg(F.count(F.lit(1))).collect())):  # one for each task that wrote rows
+        starts.append((k, rows))
+        rows += n
+    if rows > 1 << 32:
+        raise ValueError("more rows than places can tell apart")
+    numbered = copy.withColumn("__part", part).join(F.broadcast(docs.sparkSession.createDataFrame(starts, "__part long, __start long")), "__part")
+    rank = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(10,0)") + F.col("__start") + within
+    return numbered.select(*[copy[c] for c in docs.columns], (rank.cast("decimal(31,0)") * lines).cast(_PLACE).alias("__at"))
 
 
 def _one_blank(text: Column) -> Column:
@@ -49,8 +67,8 @@ def _n_words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of every line, with single blanks."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_one_blank(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    """(at, pos, line) of every line of keyed docs, with single blanks."""
+    return docs.select(F.col("__at").alias("at"), F.posexplode(F.split(_one_blank(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
 
 
 def _first(line: Column, n: Column) -> Column:
@@ -81,17 +99,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, near) of each line of docs (doc_id, text) that goes because an earlier line is equal or near.
 
     near tells whether it is only near. Earlier is by doc_id, then position; a null doc_id comes last. A near line goes
-    also if the earlier one goes itself. Null texts have no lines; lines under MIN_WORDS words never go. Rows that
-    repeat a doc_id count as one document: their lines share positions. An empty table gives no rows.
+    also if the earlier one goes itself. Null texts have no lines; lines under MIN_WORDS words never go. Each row is a
+    document of its own, also if its doc_id is null or repeated. An empty table gives no rows.
     """
-    n, line = F.col("n"), F.col("line")
+    keyed = _keyed(docs)
+    rows = keyed.select(F.col("__at").alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
+    return _repeated(keyed).join(rows, "at").select("doc_id", "pos", "near")
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(at, pos, near) of the lines of keyed docs that go, see repeated_lines."""
+    n, line, place = F.col("n"), F.col("line"), (F.col("at") + F.col("pos")).cast(_PLACE)
     counted = _lines(docs).withColumn("n", _n_words(line)).filter(n >= MIN_WORDS)
     sized = counted.withColumns({"longer": F.when(n >= NEAR_WORDS, _rounded(n - 1)), "shorter": F.when((n >= NEAR_WORDS) & (_rounded(n) != _rounded(n - 1)), _rounded(n))})
     ways = []
     for m in (F.col("longer"), F.col("shorter")):  # as the longer line of a pair, and as the shorter one where that differs
         for way, (start, end) in enumerate(_cuts(m)):
             ways.append(F.when(m.isNotNull(), F.xxhash64(F.lit(way), m, _first(line, start), _last(line, end))).alias(f"part{len(ways)}"))
-    log = stored(sized.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *ways), "lines")
+    log = stored(sized.select("at", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *ways), "lines")
     total = log.count()
 
     # a part that only one line has leads nowhere
@@ -100,14 +125,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     known = broadcast_if_small(meet)
     met_parts = parts.join(known, "part") if known is not meet else join_per_key(parts, meet, ["part"], "n_part", 4 * max(1, total))
     some = met_parts.groupBy("h1", "way").agg(F.count(F.lit(1)).alias("_")).drop("_")
-    classes = stored(log.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    classes = stored(log.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")), "line-classes")
 
-    two31 = F.lit(1 << 31).cast("decimal(10,0)")
-    at = F.col("place")
+    at_pos = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
     wanted_ways = some.groupBy("h1").agg(F.collect_set("way").alias("ways"))
-    firsts = stored(classes.join(wanted_ways, "h1").select("h1", "h2", "place", "ways", ((at - F.pmod(at, two31)) / two31).cast("long").alias("doc_id"), F.pmod(at, two31).cast("int").alias("pos")), "line-candidates")
-    lines = _lines(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    wanted = stored(lines.join(broadcast_if_small(firsts), ["doc_id", "pos"]).select("h1", "h2", "place", "ways", "line", _n_words(line).alias("n")), "line-words")
+    firsts = stored(classes.join(wanted_ways, "h1").select("h1", "h2", "place", "ways", (F.col("place") - at_pos).cast(_PLACE).alias("at"), at_pos.cast("int").alias("pos")), "line-candidates")
+    wanted = stored(_lines(docs).join(broadcast_if_small(firsts), ["at", "pos"]).select("h1", "h2", "place", "ways", "line", _n_words(line).alias("n")), "line-words")
 
     m = F.when(F.col("way") < 4, _rounded(n - 1)).otherwise(_rounded(n))
     ranges = F.array(*[F.struct(start.alias("lo"), (n - end).alias("hi")) for start, end in _cuts(m)])
@@ -131,8 +154,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     near = pairs.join(mine, ["h1", "h2"]).join(other, "head").filter((F.abs(n_a - n_b) <= 1) & same).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     gone = stored(classes.join(near, ["h1", "h2"], "left").filter("copies > 1 OR near").select("h1", "h2", "place", "copies", F.coalesce("near", F.lit(False)).alias("near")), "lines-gone")
-    found = join_per_key(log.select("doc_id", "pos", "h1", "h2"), gone, ["h1", "h2"], "copies", total)
-    return found.filter(F.col("near") | (_place(F.col("doc_id"), F.col("pos")) != F.col("place"))).select("doc_id", "pos", "near")
+    found = join_per_key(log.select("at", "pos", "h1", "h2"), gone, ["h1", "h2"], "copies", total)
+    return found.filter(F.col("near") | (place != F.col("place"))).select("at", "pos", "near")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -141,16 +164,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     __whole: every line of MIN_WORDS words or more went, and there was one; shorter lines, which were never compared, may
     be left. __blank: a line went, and nothing but white space is left.
     """
-    by_doc = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("doc_id", "__doc")
+    keyed = _keyed(docs)
+    by_doc = _repeated(keyed).groupBy("at").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("at", "__doc")
     gone = broadcast_if_small(stored(by_doc, "lines-by-document"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & F.col("__gone").isNotNull(), "left")
+    joined = keyed.join(gone, F.col("__at") == F.col("__doc"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     substantial = F.exists(kept, lambda x: _n_words(F.trim(_one_blank(x))) >= MIN_WORDS)
     hit = F.col("__gone").isNotNull()
     return joined.select(
-        *[docs[c] for c in docs.columns if c != "text"],
-        F.when(hit, F.array_join(kept, "\n")).otherwise(docs["text"]).alias("text"),
+        *[keyed[c] for c in docs.columns if c != "text"],
+        F.when(hit, F.array_join(kept, "\n")).otherwise(keyed["text"]).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
         F.coalesce("__near", F.lit(0)).cast("long").alias("__n_near"),

@@ -201,3 +201,16 @@ def test_short_lines_keep_their_document(spark):
     out = corpus_pipeline.line_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+
+def test_rows_with_null_and_repeated_ids_are_documents_of_their_own(spark):
+    a, b, c, d = (f"line {x} of five words" for x in "abcd")
+    edge = (1 << 63) - 1
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{c}\n{d}"), (None, "short\nunique words of one row"), (1, f"{a}\n{'x' * 5} own words of it"), (1, "no line of this one\nis in another row here"), (edge, b), (-edge - 1, d), (None, "copy of a whole row"), (None, "copy of a whole row")]
+    docs = spark.createDataFrame([(i, t, True, "k", 7) for i, t in rows], DOCS).repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in deduplicated(docs).collect())
+    null = [r[2] for r in got if r[0]]
+    assert [r[1:] for r in got if not r[0]] == [(-edge - 1, d), (1, f"{a}\nxxxxx own words of it"), (1, "no line of this one\nis in another row here"), (edge, b)]
+    assert len(null) == 6 and "short\nunique words of one row" in null
+    assert sorted(x for t in null for x in t.split("\n") if x) == sorted([c, "copy of a whole row", "short", "unique words of one row"])
+    assert repeated_lines(docs).filter("doc_id IS NULL").count() == 6 and repeated_lines(docs).count() == 6
