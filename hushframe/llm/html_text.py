@@ -39,12 +39,26 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
+# Elements that a form holds only if it goes round the whole page.
+FRAMED = frozenset("article footer h1 main nav".split())
+# Headings, and parts of an article whose ids are often made from their titles.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words on a wrapper that tell of its layout, not of what it is.
+_LAYOUT = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:has|with|no|without|hide|show)[_-]\S*")
+
+
+def _words(attrs: list[tuple[str, str | None]], names: tuple[str, ...]) -> set[str]:
+    return {w.lower() for k, v in attrs if k in names and v for w in _WORD.findall(_LAYOUT.sub(" ", v))}
 
 
 @dataclass
 class Block:
-    """A block's text, the nodes of the tree it stands in (from the root), and what its ancestors say."""
+    """A block's text, the nodes of the tree it stands in (from the root), and what its ancestors say.
+
+    bad: an ancestor is hidden, or the nearest one that tells is boilerplate; an article or main within boilerplate tells otherwise.
+    """
 
     text: str
     path: tuple[int, ...]
@@ -59,8 +73,10 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # element, node, bad, good
+        self.said: list[list[tuple[str, int]]] = []  # for each block, what its ancestors say, and their nodes
+        self.open: list[tuple[str, int, str, bool]] = []  # element, node, what it says of what is in it, good
         self.nodes = 0
+        self.frames: set[int] = set()  # forms around parts of a page
         self.hidden = 0
         self.links = 0
         self.parts: list[str] = []
@@ -70,7 +86,8 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             above = [x for x in self.open if x[0] in BLOCK]
-            self.blocks.append(Block(text, tuple(x[1] for x in above), min(self.linked, len(text)), any(x[2] for x in self.open), any(x[3] for x in self.open)))
+            self.blocks.append(Block(text, tuple(x[1] for x in above), min(self.linked, len(text)), False, any(x[3] for x in self.open)))
+            self.said.append([(x[2], x[1]) for x in self.open if x[2]])
         self.parts.clear()
         self.linked = 0
 
@@ -110,11 +127,17 @@ class _Blocks(HTMLParser):
                 self._close_last(frozenset(["tr"]), frozenset(["table"]))
         if tag in VOID:
             return
-        words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v)}
+        good_words = _words(attrs, ("class", "id", "role"))
+        inside = any(x[0] in ARTICLE for x in self.open)
+        words = _words(attrs, ("class", "role")) if inside and tag in TITLED else good_words
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
-        bad = tag in BOILERPLATE or hidden or bool(words & BAD_WORDS) and tag not in ("html", "body", "article", "main")
+        named = bool(words & BAD_WORDS) and tag not in ("html", "body", "article", "main")
+        plain = tag == "header" and inside and not named  # an article's own header holds its title
+        says = "hidden" if hidden else "bad" if named or tag in BOILERPLATE and not plain else "resets" if tag in ARTICLE else ""
+        if tag in FRAMED:
+            self.frames.update(x[1] for x in self.open if x[0] == "form")
         self.nodes += 1
-        self.open.append((tag, self.nodes, bad, tag in ARTICLE or bool(words & GOOD_WORDS)))
+        self.open.append((tag, self.nodes, says, tag in ARTICLE or bool(good_words & GOOD_WORDS)))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
@@ -146,6 +169,9 @@ def blocks_of(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    for block, said in zip(parser.blocks, parser.said):
+        telling = [says for says, node in said if node not in parser.frames or says == "hidden"]
+        block.bad = "hidden" in telling or bool(telling) and telling[-1] == "bad"
     return parser.blocks
 
 

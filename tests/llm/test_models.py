@@ -230,6 +230,27 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<article><header><h1>The title</h1></header><p>A first line of the article.</p><section id='related-work'><h2 id='sharing-data'>Data</h2><p>A second line of it.</p></section></article>"
+WRAPPERS = ["<div class='site has-sidebar'>{}</div>", "<div id=page class='with-sidebar'>{}</div>", "<form id=aspnetForm>{}</form>", "<div class='no-sidebar widget-area'>{}</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_hide_an_article(wrapper):
+    whole = "The title\nA first line of the article.\nData\nA second line of it."
+    around = "<nav><a href=/a>A</a></nav>{}<aside>Side text that is long enough to count.</aside><div class=sidebar><p>More side text that is long enough.</p></div>"
+    assert html_text.main_text(wrapper.format(around.format(ARTICLE))) == whole
+
+
+def test_layout_words_and_titles_made_ids():
+    prose = "<p>" + "A long line of prose goes on and on. " * 8 + "</p>"
+    assert html_text.main_text(f"<div class='page has-sidebar'>{prose}</div>") != ""
+    assert html_text.main_text(f"<main><section id='search-algorithms'>{prose}</section></main>") != ""
+    assert html_text.main_text(f"<form><nav><a href=/a>A</a></nav><div><h1>T</h1>{prose}</div></form>").startswith("T\nA long line")
+    # boilerplate inside an article, and what a page hides, stay out
+    assert html_text.main_text(f"<article><p>Text of it.</p><div class='related'>{prose}</div><section class=comments>{prose}</section></article>") == "Text of it."
+    assert html_text.main_text(f"<div hidden><article>{prose}</article></div>") == ""
+
+
 # pipeline
 
 
