@@ -8,9 +8,13 @@ Only DataFrame functions are used. The broadcast side is the fixed table below.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.licence_texts import TEXTS
+
 # Licence names with their texts or notices.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -43,6 +47,25 @@ KNOWN = [
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ),
 ]
+# Title lines that stand before a text, and numbers before its points.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"],
+}
+_POINT = re.compile(r"(?m)^[ \t]*[0-9]\.[ \t]+(?=Redistributions|Neither)")
+#: What a text's file has before its first words without the title, and behind its last words as a guide to use.
+_HEAD = re.compile(r"(?s)\A.*?(?=TERMS AND CONDITIONS FOR USE|Everyone is permitted|Preamble\n|1\. Definitions|CREATIVE COMMONS CORPORATION)")
+_GUIDE = re.compile(r"(?s)(END OF TERMS AND CONDITIONS).*\Z")
+
+
+def _forms(licence: str, text: str) -> set[str]:
+    """A whole text with and without its title, its guide to use and the numbers of its points."""
+    bare = {text, _POINT.sub("", text), _HEAD.sub("", text)}
+    bare |= {_GUIDE.sub(r"\1", t) for t in bare}
+    return bare | {f"{title}\n\n{t}" for title in _TITLES.get(licence, []) for t in bare}
+
+
+KNOWN += [(licence, form) for licence, text in [*((n, t) for n, t in KNOWN if len(t) > 500), *TEXTS] for form in sorted(_forms(licence, text)) if (licence, form) not in KNOWN]
 # Spellings that count as equal, the first as the second.
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -51,11 +74,16 @@ SPELLINGS = [
 ]
 #: A copyright line, in lower case.
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright statement, in lower case: behind comment marks, and up to the licence if its line goes on with one. COPYRIGHT, for SQL without lookahead, cuts the line.
+STATEMENT = (
+    r"(?m)^[^\p{L}\p{N}\n]*?(?:copyright\b(?![ \t]+(?:holder|owner|notice|law|licen[sc]e|interest|statement|and\b|or\b))|\(c\)|©|all rights reserved)[^\n]*?"
+    r"(?=\b(?:permission (?:is hereby granted|to use)|licen[sc]ed under|released under|redistribution and use|this (?:work|source code form) is|to the extent possible)\b|$)"
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text; lines stay apart."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(text), STATEMENT, "")
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 import zlib
 from hashlib import sha256
 
@@ -12,6 +13,7 @@ import sentencepiece
 import corpus_pipeline
 from hushframe.llm import html_text, language_gru, quality_crf, warc
 from hushframe.llm.licence_scan import KNOWN, scan_licences
+from hushframe.llm.licence_texts import TEXTS
 from hushframe.llm.sentence_pieces import MODEL, Encoder, Model, compile_model, decode, decode_ids, encode, merges, round_trips
 
 DOCS = "doc_id long, text string, score double, lang string"
@@ -167,6 +169,17 @@ def test_licences(spark):
     assert scan_licences(frame(spark, [])).count() == 0
 
 
+def test_whole_licences_with_titles_comment_marks_and_copyright_on_one_line(spark):
+    mit = next(t for n, t in KNOWN if n == "MIT" and len(t) > 200)
+    bsd3 = next(t for n, t in TEXTS if n == "BSD-3-Clause" and "copyright holder" in t)
+    texts = [t for _, t in TEXTS] + ["MIT License\n\nCopyright (c) 2020 J. Smith\n\n" + "\n\n".join(textwrap.wrap(mit, 78))]
+    texts += ["\n".join("# " + x for x in ["Copyright (c) 2020 J. Smith", *textwrap.wrap(mit, 70)]), "/*\n * Copyright 2020 X.\n * All rights reserved.\n *\n * " + mit + "\n */"]
+    texts += ["Copyright (c) 2020 X. " + mit, "© 2020 X. Licensed under CC BY 4.0.", "BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n" + bsd3, "Copyright (c) 2020 somebody else"]
+    got = {r["doc_id"]: (r["licences"], r["whole"]) for r in scan_licences(frame(spark, texts)).collect()}
+    want = [n for n, _ in TEXTS] + ["MIT", "MIT", "MIT", "MIT", "CC-BY-4.0", "BSD-3-Clause", ""]
+    assert got == {i: (n, n != "") for i, n in enumerate(want)}
+
+
 # archives
 
 PAGES = "page_id long, url string, html string, digest string, offset int"
