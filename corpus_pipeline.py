@@ -14,7 +14,7 @@ from hushframe.llm.decontaminate import decontaminate
 from hushframe.llm.jaccard_join import drop_near_copies
 from hushframe.llm.line_dedup import cut_repeated_lines
 from hushframe.llm.quality_crf import drop_low_quality, fit_on
-from hushframe.llm.sentence_pieces import MODEL, decode, encode
+from hushframe.llm.sentence_pieces import MODEL, encode_and_decode
 from hushframe.llm.shared import stored
 
 
@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (pieces of the whole text), n_pieces, n_fallback, and text as decoded from ids."""
-    coded = decode(encode(docs, MODEL), MODEL)
+    coded = encode_and_decode(docs, MODEL)
     return coded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "n_fallback", F.col("decoded").alias("text"))
 
 

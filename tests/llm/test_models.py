@@ -14,7 +14,8 @@ import corpus_pipeline
 from hushframe.llm import html_text, language_gru, quality_crf, warc
 from hushframe.llm.licence_scan import KNOWN, scan_licences
 from hushframe.llm.licence_texts import TEXTS
-from hushframe.llm.sentence_pieces import MODEL, Encoder, Model, compile_model, decode, decode_ids, encode, merges, round_trips
+from hushframe.llm import sentence_pieces
+from hushframe.llm.sentence_pieces import MODEL, Decoder, Encoder, Model, compile_bytes, compile_model, decode, encode, encode_and_decode, merges, round_trips
 
 DOCS = "doc_id long, text string, score double, lang string"
 GOOD = "the quick brown fox jumps over the lazy dog. and then it sleeps near the river.\nanother plain line of prose follows here."
@@ -123,30 +124,72 @@ def test_encoding_equals_the_library(spark, sf, pieces):
     rng = random.Random(1)
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += ["".join(rng.choice("ab cdé\n\t  龘😀▁.,1 ́the ing") for _ in range(rng.randrange(30))) for _ in range(1500)] + ["", " ", "  ", "a" * 3000, " " * 40, "\n\n", "ſ"]
-    encoder = Encoder(model)
-    for text in texts:
-        ids = encoder.encode(text)
-        assert ids.tolist() == library.encode(text)
-        assert "▁" in text or decode_ids(model, ids) == text
+    texts += [" " * n + tail for n in (*range(2, 40), 5000) for tail in ("", "the", "x.")]
+    ids = Encoder(model).encode_all([None, *texts])
+    assert len(ids.pop(0)) == 0
+    for text, own, back in zip(texts, ids, Decoder(model).decode_all(ids)):
+        assert own.tolist() == library.encode(text)
+        assert "▁" in text or back == text
+
+
+def test_small_memory_and_long_texts_change_nothing(spark, sf, pieces, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + ["  a   " * 999, " " * 7000, "x" * 9000 + " b"]
+    want = [x.tolist() for x in Encoder(pieces[0]).encode_all(texts)]
+    monkeypatch.setattr(sentence_pieces, "MEMORY", 50)
+    monkeypatch.setattr(sentence_pieces, "SEGMENT", 1000)
+    monkeypatch.setattr(sentence_pieces, "PAIRS", 6)
+    assert [x.tolist() for x in Encoder(pieces[0]).encode_all(texts)] == want
 
 
 def test_pairs_settle_like_merges(pieces):
     model, _ = pieces
-    rng, encoder, known = random.Random(4), Encoder(pieces[0]), list(pieces[0].cost)
+    rng, encoder, known = random.Random(4), Encoder(model), [i for i, p in enumerate(model.pieces) if p in model.when]
+    number = {model.pieces[i]: i for i in known}
     for _ in range(4000):
-        text = rng.choice(known) + rng.choice(known).lstrip("▁")
+        text = model.pieces[rng.choice(known)] + model.pieces[rng.choice(known)].lstrip("▁")
         cut = rng.randrange(1, len(text)) if len(text) > 1 else 1
         left, right = text[:cut], text[cut:]
-        if left in model.cost and right in model.cost and not text.startswith("▁▁"):
-            assert encoder._fits(left, right) == (merges(list(text), model.rank) == [left, right])
+        if left in number and right in number:
+            assert encoder._barred(number[left], number[right]) == (merges(text, model.rank) != [left, right])
+
+
+def unigram(cost):
+    model = Model("u", "unigram", list(cost), list(cost.values()), [len(cost)] * 256, [p.encode() for p in cost] + [b"?"])
+    model.build(list(range(len(cost))))
+    return model
 
 
 def test_unigram_takes_the_cheapest_path():
-    cost = {"a": 3.0, "b": 3.0, "ab": 5.0, "▁": 1.0, "▁a": 3.5, "abb": 7.0}
-    encoder = Encoder(Model("u", "unigram", cost, {p: i for i, p in enumerate(cost)}, list(range(10, 266)), [b""] * 266, True, 3))
+    cost = {"a": 3.0, "b": 3.0, "ab": 5.0, "▁": 1.0, "▁a": 3.5, "abb": 7.0, "bb": 1.0}
+    names = list(cost)
     every = lambda w: [[w[:i], *rest] for i in range(1, len(w) + 1) if w[:i] in cost for rest in every(w[i:])] if w else [[]]
-    for word in ("▁ab", "▁abb", "abab", "▁aabb"):
-        assert sum(cost[p] for p in encoder.path(word)) == min(sum(cost[p] for p in path) for path in every(word))
+    words = ["▁" + "".join(w) for n in range(1, 8) for w in itertools.product("ab", repeat=n)]
+    for word, ids in zip(words, Encoder(unigram(cost)).shortest_paths(words)):
+        assert "".join(names[i] for i in ids) == word
+        assert sum(cost[names[i]] for i in ids) == min(sum(cost[p] for p in path) for path in every(word))
+    assert Encoder(unigram(cost)).shortest_paths(["aéb"])[0].tolist() == [0, 7, 7, 1]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
+@pytest.mark.parametrize("trims", [True, False])
+def test_normaliser_maps_equal_the_library(rule, trims):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    if rule != "identity":
+        made = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        other = sentencepiece_model_pb2.ModelProto()
+        other.ParseFromString(made.serialized_model_proto())
+        proto.normalizer_spec.precompiled_charsmap = other.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = trims
+    data = proto.SerializeToString()
+    library, encoder = sentencepiece.SentencePieceProcessor(model_proto=data), Encoder(compile_bytes(data))
+    rng = random.Random(8)
+    texts = ["ﬁne ①½ ｶﾞ Ａ\u3000Ｂ  e\u0301 ẛ̣ \t x\n\ny ", "", "   ", " a  b "] + ["".join(rng.choice("aB \t\n ﬁ①ｶﾞ가각e\u0301\u0323Ⅷ\u200b\u00a0™x") for _ in range(rng.randrange(25))) for _ in range(600)]
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert ids.tolist() == library.encode(text), text
 
 
 def test_round_trips(spark, pieces):
@@ -155,7 +198,13 @@ def test_round_trips(spark, pieces):
     assert [got[i]["round_trip"] for i in range(6)] == [True, True, True, True, False, True]
     assert got[0]["ids_sha256"] is None and got[1]["n_pieces"] == 0 and got[3]["n_fallback"] > 0
     assert got[2]["ids_sha256"] == sha256(" ".join(map(str, pieces[1].encode("plain text"))).encode()).hexdigest()
-    assert encode(frame(spark, [])).count() == 0 and decode(encode(frame(spark, ["x", None]))).count() == 2
+    assert encode(frame(spark, [])).count() == 0 and encode_and_decode(frame(spark, [])).count() == 0
+    two = {r["doc_id"]: r for r in decode(encode(frame(spark, texts))).collect()}
+    one = {r["doc_id"]: r for r in encode_and_decode(frame(spark, texts)).collect()}
+    assert all(two[i]["decoded"] == one[i]["decoded"] and two[i]["ids"] == one[i]["ids"] and two[i]["n_fallback"] == one[i]["n_fallback"] for i in one)
+    assert one[0]["ids"] is None and one[0]["decoded"] is None and two[4]["text"] == "has ▁ mark"
+    odd = spark.createDataFrame([(None, "a b", 1, [2], "z")] * 2 + [(7, None, 1, None, "z")], "doc_id long, text string, n_pieces int, ids array<int>, decoded string")
+    assert sorted((r["doc_id"] is None, r["n_pieces"], r["round_trip"]) for r in round_trips(odd).collect()) == [(False, 0, True), (True, 2, True), (True, 2, True)]
 
 
 # licences
