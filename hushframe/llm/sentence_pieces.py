@@ -114,20 +114,19 @@ def character_map(blob: bytes) -> dict[str, list[tuple[str, str]]]:
     if not blob:
         return {}
     size = struct.unpack_from("<I", blob)[0]
-    units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
-    texts = blob[4 + size :]
-    rules: dict[str, list[tuple[str, str]]] = {}
+    units, texts, letters = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :], np.arange(1, 256)
     base = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
-    stack = [(base(units[0]), b"")]
+    rules: dict[str, list[tuple[str, str]]] = {}
+    stack = [(int(base(units[0])), b"")]
     while stack:
         at, key = stack.pop()
-        for byte in range(1, 256):
+        places = at ^ letters
+        there = letters[places < len(units)]
+        for byte in there[units[at ^ there] & ((1 << 31) | 0xFF) == there].tolist():
             place = at ^ byte
-            if place >= len(units) or units[place] & ((1 << 31) | 0xFF) != byte:
-                continue
-            own, after = units[place], place ^ base(units[place])
+            own, after = int(units[place]), place ^ int(base(units[place]))
             if own >> 8 & 1:
-                start = units[after] & ((1 << 31) - 1)
+                start = int(units[after]) & ((1 << 31) - 1)
                 one = (key + bytes([byte])).decode()
                 rules.setdefault(one[0], []).append((one, texts[start : texts.index(0, start)].decode()))
             stack.append((after, key + bytes([byte])))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import textwrap
+import time
 import zlib
 from hashlib import sha256
 
@@ -11,10 +12,10 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from hushframe.llm import html_text, language_gru, quality_crf, warc
+from hushframe.llm import html_text, language_gru, quality_crf, sentence_pieces, warc
+from hushframe.llm.html_pages import MARKED, made_pages
 from hushframe.llm.licence_scan import KNOWN, scan_licences
 from hushframe.llm.licence_texts import TEXTS
-from hushframe.llm import sentence_pieces
 from hushframe.llm.sentence_pieces import MODEL, Decoder, Encoder, Model, compile_bytes, compile_model, decode, encode, encode_and_decode, merges, round_trips
 
 DOCS = "doc_id long, text string, score double, lang string"
@@ -275,6 +276,58 @@ def test_minimum_cut_matches_enumeration():
         assert price(html_text.minimum_cut(source, sink, edges)) == min(price(x) for x in itertools.product((False, True), repeat=n))
 
 
+def energy(gains, edges, side):
+    return sum(abs(g) for g, keep in zip(gains, side) if (g > 0) != keep) + sum(w for a, b, w in edges if side[a] != side[b])
+
+
+def test_labels_of_small_pages_match_enumeration():
+    weights, checked, flows = html_text.fitted(), 0, 0
+    for html in made_pages(41, 250):
+        page = html_text.Page(html)
+        if not 1 <= len(page.blocks) <= 11:
+            continue
+        gains = np.clip(np.array(page.features()) @ weights, -8, 8)
+        labels, edges = html_text.label(page, gains), page.edges()
+        least = min(energy(gains, edges, x) for x in itertools.product((False, True), repeat=len(gains)))
+        assert energy(gains, edges, labels) == pytest.approx(least)
+        checked += 1
+        flows += labels != [g > 0 for g in gains]
+    assert checked > 60 and flows > 2
+
+
+def test_the_cut_betters_the_classifier_on_pages_it_was_not_fitted_on():
+    weights, changed, better, right, n = html_text.fitted(), 0, 0, 0, 0
+    for html in made_pages(77, 250):
+        page = html_text.Page(html)
+        truth = [b.text.startswith(MARKED) for b in page.blocks]
+        for b in page.blocks:
+            b.text = b.text.lstrip(MARKED) or b.text
+        gains = np.array(page.features()) @ weights
+        for own, cut, true in zip((gains > 0).tolist(), html_text.label(page, gains), truth):
+            changed += own != cut
+            better += (cut == true) - (own == true)
+            right += cut == true
+            n += 1
+    assert changed > 20 and better > 5 and right / n > 0.96
+
+
+def test_names_alone_decide_nothing():
+    article = "<article><h1>The title</h1><p>A first line of the article.</p><p>And a second one, which is longer than the first, says more.</p></article>"
+    whole, prose = "The title\nA first line of the article.\nAnd a second one, which is longer than the first, says more.", "A long line of prose goes on and on. " * 8
+    assert html_text.main_text(f'{article}<div class="reactions"><p>Nice piece, thanks a lot!</p><p>I do not agree.</p></div><div id="bottom">All rights reserved</div>') == whole
+    assert html_text.main_text(f"<div class='social-history'>{article}</div>") == whole
+    assert html_text.main_text(f"<article><h1>T</h1><section class='search-for-meaning'><p>{prose}</p><p>Second.</p></section></article>") == f"T\n{prose.strip()}\nSecond."
+    assert html_text.main_text("<p>All of it.</p>") == "All of it."
+
+
+def test_deep_nesting_takes_linear_time():
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 30_000 + "x") in ("x", "")
+    html_text.main_text("<div>x" * 20_000)
+    html_text.main_text("<b>" * 20_000 + "<p>x</i>" * 20_000)
+    assert time.perf_counter() - began < 30
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><div class="cookie-notice">We use cookies. Please accept them all now.</div>
 <article><h1>A &amp; B</h1><p><b>First &eacute;  line<br>goes on.<p>Second&nbsp;line.</p><div class=ad>Buy this very good thing today.</div><p>x</p><ul><li>One point</li></ul></article>
@@ -286,9 +339,9 @@ def test_main_text(spark):
     assert [html_text.main_text(x) for x in (None, "", "<nav><a href=x>y</a></nav>", "<article><p>cut off &am")] == ["", "", "", "cut off &am"]
     long = "<article>" + "".join(f"<p>Paragraph number {i} of a long page.</p>" for i in range(20_000)) + "</article>"
     assert html_text.main_text(long).count("\n") == 19_999
-    pages = spark.createDataFrame([(1, "u", PAGE, "x", 3), (1, "u", PAGE, "x", 3), (2, None, None, "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    pages = spark.createDataFrame([(1, "u", PAGE, "x", 3), (1, "u", PAGE, "x", 3), (2, None, None, "x", 3), (None, None, "<p>some text</p>", None, None)], "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract(pages).collect()
-    assert [(r["page_id"], r["n_chars"], len(r["text"])) for r in got] == [(1, len(got[0]["text"]), len(got[0]["text"]))] * 2 + [(2, 0, 0)]
+    assert [(r["page_id"], r["n_chars"], len(r["text"])) for r in got] == [(1, len(got[0]["text"]), len(got[0]["text"]))] * 2 + [(2, 0, 0), (None, 9, 9)]
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
