@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from hushframe.llm import decontaminate as dc
 from hushframe.llm.components import connected
-from hushframe.llm.exact_dedup import drop_exact_copies, exact_groups
+from hushframe.llm.exact_dedup import drop_exact_copies, exact_groups, grow_directory, slot
 from hushframe.llm.jaccard_join import drop_near_copies, near_groups
 from hushframe.llm.line_dedup import deduplicated, drop_repeated_lines, repeated_lines
 from hushframe.llm.shingles import word_hashes
@@ -86,6 +86,37 @@ def test_exact_groups_match_brute_force(spark, capacity):
     assert drop_exact_copies(frame(spark, base), capacity).count() == len(set(norm))
 
 
+@pytest.mark.parametrize("capacity", [1 << 12, 3])
+@pytest.mark.parametrize("kinds", [1, 5])
+def test_texts_whose_keys_collide_stay_apart(spark, capacity, kinds):
+    rng = random.Random(7)
+    texts = [words(rng, rng.choice([0, 1, 2, 3]), 6) for _ in range(300)] + ["hot text"] * 100 + [None, "alone"]
+    few = lambda norm: F.shiftleft(F.pmod(F.octet_length(norm), F.lit(kinds)).cast("long"), 61)
+    plain = {tuple(r) for r in exact_groups(frame(spark, texts).repartition(5)).collect()}
+    assert {tuple(r) for r in exact_groups(frame(spark, texts).repartition(5), capacity, few).collect()} == plain
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in texts]
+    assert {(r[0], r[2]) for r in plain} == {(i, norm.count(n)) for i, n in enumerate(norm)}
+
+
+def test_owners_have_whole_buckets(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    directory, depth = grow_directory(keys, 64)
+    slots = directory.orderBy("slot").collect()
+    assert [r["slot"] for r in slots] == list(range(1 << depth)) and depth > 6
+    for r in slots:
+        assert r["bucket"] == r["slot"] >> (depth - r["local_depth"]) << (depth - r["local_depth"])
+    sizes = keys.withColumn("slot", slot(F.col("key"), depth)).join(directory, "slot").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 64 and sum(r["count"] for r in sizes) == 5000
+
+
+def test_exact_groups_at_the_ends_of_ids(spark):
+    edge = (1 << 63) - 1
+    docs = spark.createDataFrame([(edge, "a"), (edge, "b"), (None, "b"), (-edge - 1, "c"), (edge, "c "), (None, "d"), (None, "e"), (None, "e")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in exact_groups(docs).collect())
+    assert got == sorted([(str(edge), str(edge), 1, True), (str(edge), str(edge), 2, True), ("None", str(edge), 2, False), (str(-edge - 1), str(edge), 2, False), (str(edge), str(edge), 2, True), ("None", "None", 1, True), ("None", "None", 2, True), ("None", "None", 2, True)])
+    assert drop_exact_copies(docs).count() == 6
+
+
 def test_exact_groups_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (3, "a"), (5, "aa")], "doc_id long, text string")
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(docs).collect())
