@@ -256,8 +256,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     groups = stored(own.filter("n > 0").groupBy("digest", "node", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "join-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
 
-    estimates = scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") * FREQUENT > total)
-    listed = estimates.toPandas()  # fewer than FREQUENT rows, as counts add up to total at most
+    estimates = stored(scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")), "join-estimates")
+    share = FREQUENT  # tasks count repeated texts each for itself, so the list is counted before it is collected
+    while (often := estimates.filter(F.col("count") * share > total)).count() > FREQUENT:
+        share //= 2
+    listed = often.toPandas()
     known = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     sent = spark.sparkContext.broadcast((known[order], listed["count"].to_numpy(np.int64)[order]))
@@ -305,10 +308,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     able = stored(kinds.join(meta.select("label", *[F.col(w).cast("int").alias(w) for w in ("n", "l")]), "label"), "join-able")
     placed_tokens = able.select("label", "component", "n", "l", F.size("open").alias("c"), F.posexplode("open").alias("pos", "o"))
     open_ = placed_tokens.select("label", "component", "n", "l", (F.col("c") - F.col("pos")).alias("tail"), "o.token", "o.major")
+    # a token's nodes of one size and l are a kind; kinds that can't share enough behind the token are never paired
+    open_ = stored(open_, "join-open-tokens")
+    some = open_.groupBy("token", "n", "l").agg(F.max("tail").alias("tail"))
+    kinds_a, kinds_b = (some.select("token", *[F.col(c).alias(f"{c}_{w}") for c in ("n", "l", "tail")]) for w in "ab")
+    able_kinds = stored(kinds_a.join(kinds_b, "token").filter(_sized() & (F.least("tail_a", "tail_b") >= _must())).select("token", "n_a", "l_a", "n_b", "l_b", _must().alias("must")), "join-kinds")
     x = open_.filter("component <> major").select("token", F.col("label").alias("a"), F.col("component").alias("p_a"), "major", *[F.col(w).alias(f"{w}_a") for w in ("n", "l", "tail")])
     y = open_.select("token", F.col("label").alias("b"), F.col("component").alias("p_b"), *[F.col(w).alias(f"{w}_b") for w in ("n", "l", "tail")])
-    possible = (F.col("p_a") != F.col("p_b")) & ((F.col("p_b") == F.col("major")) | (F.col("a") < F.col("b"))) & _sized() & (F.least("tail_a", "tail_b") >= _must())
-    meets = x.join(y, "token").filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _must().alias("must")).distinct()
+    asks = x.join(able_kinds, ["token", "n_a", "l_a"]).filter("tail_a >= must")
+    possible = (F.col("p_a") != F.col("p_b")) & ((F.col("p_b") == F.col("major")) | (F.col("a") < F.col("b"))) & (F.col("tail_b") >= F.col("must"))
+    meets = asks.join(y, ["token", "n_b", "l_b"]).filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "must").distinct()
     own_a, own_b = (able.select(F.col("label").alias(w), F.col("open.token").alias(f"open_{w}")) for w in "ab")
     second = stored(meets.join(own_a, "a").join(own_b, "b").filter(F.size(F.array_intersect("open_a", "open_b")) >= F.col("must")).select("a", "b"), "join-candidates")
     if not second.isEmpty():
@@ -318,8 +327,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     nodes = about.select("node", "n", "label")
     named = groups.join(nodes, ["node", "n"]).join(parts.select(F.col("node").alias("label"), "component"), "label", "left").withColumn("component", F.coalesce("component", "label"))
-    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = stored(named.join(firsts, "component").select("digest", "size", "component_id"), "join-classes")
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_sets"))
+    table = stored(join_per_key(named, firsts, ["component"], "n_sets", groups.count()).select("digest", "size", "component_id"), "join-classes")
     n_rows = own.count()
     with_words = join_per_key(own.filter("n > 0"), table, ["digest"], "size", n_rows)
     out = with_words.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
