@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.shared import broadcast_if_small, join_per_key, stored
+from hushframe.llm.shared import broadcast_if_small, join_per_key, join_salted, stored
 
-#: Lines with fewer words are left alone.
+#: Lines with fewer words are left alone, if no other number is given; with 0 every line is compared, blank ones too.
 MIN_WORDS = 5
-#: Lines with fewer words are the same only if equal.
+#: Lines with fewer words are the same only if equal, if no other number is given; with 0 any line may be near another.
 NEAR_WORDS = 8
+#: Lines are keyed by running hashes of their words if they are longer (in rounded words); shorter ones by parts of their text.
+LONG_WORDS = 256
 
 _PLACE = "decimal(38,0)"
 
@@ -95,23 +97,65 @@ def _cuts(m: Column) -> list[tuple[Column, Column]]:
     return [(three, F.lit(0)), (two, one), (one, two), (F.lit(0), three)]
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, pos, near) of each line of docs (doc_id, text) that goes because an earlier line is equal or near.
 
     near tells whether it is only near. Earlier is by doc_id, then position; a null doc_id comes last. A near line goes
-    also if the earlier one goes itself. Null texts have no lines; lines under MIN_WORDS words never go. Each row is a
+    also if the earlier one goes itself. Null texts have no lines; lines under min_words words never go, those under
+    near_words only if equal. Each row is a
     document of its own, also if its doc_id is null or repeated. An empty table gives no rows.
     """
     keyed = _keyed(docs)
     rows = keyed.select(F.col("__at").alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
-    return _repeated(keyed).join(rows, "at").select("doc_id", "pos", "near")
+    return _repeated(keyed, min_words, near_words).join(rows, "at").select("doc_id", "pos", "near")
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
+def _running(line: Column, n: Column, lo: Column, hi: Column) -> Column:
+    """Hashes behind each of the words lo .. hi of a line, from its start and from its end: array of (i, ahead, behind).
+
+    ahead stands for the words before place i, behind for those from i on, counted from the end. Both are exclusive-ors of the
+    words' hashes; blocks of about the root of their number keep the work at its power of 1.5, however long the line.
+    """
+    words = F.slice(F.split(line, " "), lo + 1, hi - lo)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(hi - lo)).cast("int"))
+    xor = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
+    from_start = F.transform(words, lambda w, j: F.xxhash64(w, j + lo))
+    from_end = F.transform(words, lambda w, j: F.xxhash64(w, n - j - lo))
+    held = F.array(F.struct(from_start.alias("s"), from_end.alias("e"), size.alias("k"), F.xxhash64(_first(line, lo)).alias("head"), F.xxhash64(_last(line, n - hi)).alias("tail")))
+    starts = lambda x: F.sequence(F.lit(0), F.floor(F.size(x["s"]) / x["k"]).cast("int"))
+    block = lambda x, side, b: xor(F.slice(x[side], b * x["k"] + 1, x["k"]))
+    blocks = F.transform(held, lambda x: F.struct(x.alias("x"), F.transform(starts(x), lambda b: block(x, "s", b)).alias("s"), F.transform(starts(x), lambda b: block(x, "e", b)).alias("e")))
+    sums = F.transform(blocks, lambda y: F.struct(
+        y["x"].alias("x"),
+        F.transform(y["s"], lambda v, b: xor(F.slice(y["s"], 1, b))).alias("s"),
+        F.transform(y["e"], lambda v, b: xor(F.slice(y["e"], b + 1, F.size(y["e"])))).alias("e"),
+    ))
+
+    def at(z: Column, i: Column) -> Column:
+        x, b = z["x"], F.floor((i - lo) / z["x"]["k"]).cast("int")
+        rest = F.slice(x["s"], b * x["k"] + 1, i - lo - b * x["k"])
+        gone = F.slice(x["e"], b * x["k"] + 1, i - lo - b * x["k"])
+        return F.struct(i.alias("i"), F.xxhash64(x["head"], F.get(z["s"], b).bitwiseXOR(xor(rest))).alias("ahead"), F.xxhash64(x["tail"], F.get(z["e"], b).bitwiseXOR(xor(gone))).alias("behind"))
+
+    return F.get(F.transform(sums, lambda z: F.transform(F.sequence(lo, hi), lambda i: at(z, i))), F.lit(0))
+
+
+def _long_keys(line: Column, n: Column, lo: Column, hi: Column) -> Column:
+    """Keys (i, key) of a long line without each word of lo .. hi, and of the line split there."""
+    upto = F.least(hi + 1, n)  # one more word, as the place behind a word left out is needed
+    key = lambda a, b: F.struct(a["i"].alias("i"), F.xxhash64(a["i"], a["ahead"], b["behind"]).alias("key"))
+    both = F.array(_running(line, n, lo, upto))
+    gaps = lambda r: F.transform(F.filter(r, lambda a: a["i"] <= hi), lambda a: key(a, a))
+    deleted = lambda r: F.transform(F.filter(r, lambda a: (a["i"] <= hi) & (a["i"] < n)), lambda a, j: key(a, F.get(r, j + 1)))
+    return F.get(F.transform(both, lambda r: F.concat(deleted(r), gaps(r))), F.lit(0))
+
+
+def _repeated(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """(at, pos, near) of the lines of keyed docs that go, see repeated_lines."""
     n, line, place = F.col("n"), F.col("line"), (F.col("at") + F.col("pos")).cast(_PLACE)
-    counted = _lines(docs).withColumn("n", _n_words(line)).filter(n >= MIN_WORDS)
-    sized = counted.withColumns({"longer": F.when(n >= NEAR_WORDS, _rounded(n - 1)), "shorter": F.when((n >= NEAR_WORDS) & (_rounded(n) != _rounded(n - 1)), _rounded(n))})
+    counted = _lines(docs).withColumn("n", _n_words(line)).filter(n >= min_words)
+    less = F.greatest(n - 1, F.lit(0))
+    sized = counted.withColumns({"longer": F.when(n >= near_words, _rounded(less)), "shorter": F.when((n >= near_words) & (_rounded(n) != _rounded(less)), _rounded(n))})
     ways = []
     for m in (F.col("longer"), F.col("shorter")):  # as the longer line of a pair, and as the shorter one where that differs
         for way, (start, end) in enumerate(_cuts(m)):
@@ -132,16 +176,17 @@ def _repeated(docs: DataFrame) -> DataFrame:
     firsts = stored(classes.join(wanted_ways, "h1").select("h1", "h2", "place", "ways", (F.col("place") - at_pos).cast(_PLACE).alias("at"), at_pos.cast("int").alias("pos")), "line-candidates")
     wanted = stored(_lines(docs).join(broadcast_if_small(firsts), ["at", "pos"]).select("h1", "h2", "place", "ways", "line", _n_words(line).alias("n")), "line-words")
 
-    m = F.when(F.col("way") < 4, _rounded(n - 1)).otherwise(_rounded(n))
+    m = F.when(F.col("way") < 4, _rounded(less)).otherwise(_rounded(n))
     ranges = F.array(*[F.struct(start.alias("lo"), (n - end).alias("hi")) for start, end in _cuts(m)])
-    spans = wanted.withColumn("way", F.explode("ways")).select("h1", "h2", "place", "line", "n", F.get(ranges, F.pmod("way", F.lit(4))).alias("r")).filter("r.lo <= r.hi")
+    spans = wanted.withColumn("way", F.explode("ways")).select("h1", "h2", "place", "line", "n", F.get(ranges, F.pmod("way", F.lit(4))).alias("r"), m.alias("m")).filter("r.lo <= r.hi")
 
     def key_of(i: Column, skip: int) -> Column:
         return F.xxhash64(i, _first(line, i), _last(line, n - i - skip))
 
     deleted = F.transform(F.sequence(F.col("r.lo"), F.least(F.col("r.hi"), n - 1)), lambda i: F.struct(i.alias("i"), key_of(i, 1).alias("key")))
     gaps = F.transform(F.sequence(F.col("r.lo"), F.col("r.hi")), lambda i: F.struct(i.alias("i"), key_of(i, 0).alias("key")))
-    every = F.when(F.col("r.lo") <= n - 1, F.concat(deleted, gaps)).otherwise(gaps)
+    short = F.when(F.col("r.lo") <= n - 1, F.concat(deleted, gaps)).otherwise(gaps)
+    every = F.when(F.col("m") > LONG_WORDS, _long_keys(line, n, F.col("r.lo"), F.col("r.hi"))).otherwise(short)
     keys = stored(spans.select("h1", "h2", "place", F.explode(every).alias("v")).select("h1", "h2", "place", "v.i", "v.key"), "line-variants")
     heads = stored(keys.groupBy("key").agg(F.min("place").alias("head"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n_key")).filter("head <> last").drop("last"), "line-keys")
     met = join_per_key(keys, heads, ["key"], "n_key", keys.count()).filter("head < place")
@@ -151,26 +196,26 @@ def _repeated(docs: DataFrame) -> DataFrame:
     i, n_a, n_b = F.col("i"), F.col("n_a"), F.col("n_b")
     skip_a, skip_b = F.when(n_a >= n_b, 1).otherwise(0), F.when(n_b >= n_a, 1).otherwise(0)
     same = (_first(F.col("a"), i) == _first(F.col("b"), i)) & (_last(F.col("a"), n_a - i - skip_a) == _last(F.col("b"), n_b - i - skip_b))
-    near = pairs.join(mine, ["h1", "h2"]).join(other, "head").filter((F.abs(n_a - n_b) <= 1) & same).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    near = join_salted(pairs.join(mine, ["h1", "h2"]), other, "head", "h1").filter((F.abs(n_a - n_b) <= 1) & same).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     gone = stored(classes.join(near, ["h1", "h2"], "left").filter("copies > 1 OR near").select("h1", "h2", "place", "copies", F.coalesce("near", F.lit(False)).alias("near")), "lines-gone")
     found = join_per_key(log.select("at", "pos", "h1", "h2"), gone, ["h1", "h2"], "copies", total)
     return found.filter(F.col("near") | (place != F.col("place"))).select("at", "pos", "near")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with repeated lines cut from text, and columns __n_lines, __n_dropped, __n_near, __whole and __blank.
 
-    __whole: every line of MIN_WORDS words or more went, and there was one; shorter lines, which were never compared, may
+    __whole: every line of min_words words or more went, and there was one; shorter lines, which were never compared, may
     be left. __blank: a line went, and nothing but white space is left.
     """
     keyed = _keyed(docs)
-    by_doc = _repeated(keyed).groupBy("at").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("at", "__doc")
+    by_doc = _repeated(keyed, min_words, near_words).groupBy("at").agg(F.collect_set("pos").alias("__gone"), F.count_if("near").alias("__near")).withColumnRenamed("at", "__doc")
     gone = broadcast_if_small(stored(by_doc, "lines-by-document"))
     joined = keyed.join(gone, F.col("__at") == F.col("__doc"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    substantial = F.exists(kept, lambda x: _n_words(F.trim(_one_blank(x))) >= MIN_WORDS)
+    substantial = F.exists(kept, lambda x: _n_words(F.trim(_one_blank(x))) >= min_words)
     hit = F.col("__gone").isNotNull()
     return joined.select(
         *[keyed[c] for c in docs.columns if c != "text"],

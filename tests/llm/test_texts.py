@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from hashlib import sha256
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hushframe.llm import decontaminate as dc
+from hushframe.llm import line_dedup
 from hushframe.llm.components import connected
 from hushframe.llm.exact_dedup import drop_exact_copies, exact_groups, grow_directory, slot
 from hushframe.llm.jaccard_join import drop_near_copies, near_groups
@@ -181,21 +183,21 @@ def test_components_of_chains_and_stars(spark):
 # lines
 
 
-def near(a, b):
-    if len(a) < 8 or len(b) < 8 or abs(len(a) - len(b)) > 1:
+def near(a, b, near_words=8):
+    if len(a) < near_words or len(b) < near_words or abs(len(a) - len(b)) > 1:
         return False
     i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     one, two = (a[i + 1 :], b[i + 1 :]) if len(a) == len(b) else (a[i + 1 :], b[i:]) if len(a) > len(b) else (a[i:], b[i + 1 :])
     return one == two
 
 
-def brute_lines(texts):
+def brute_lines(texts, min_words=5, near_words=8):
     gone, seen = set(), []
     for i, text in enumerate(texts):
         for pos, line in enumerate(text.split("\n") if text is not None else []):
             w = [x for x in re.split(r"[\x20\x09\x0B-\x0D]+", line) if x]
-            if len(w) >= 5:
-                if w in seen or any(near(w, s) for s in seen):
+            if len(w) >= min_words:
+                if w in seen or any(near(w, s, near_words) for s in seen):
                     gone.add((i, pos))
                 if w not in seen:
                     seen.append(w)
@@ -218,6 +220,27 @@ def test_repeated_lines_match_brute_force(spark, seed):
     assert drop_repeated_lines(frame(spark, texts)).count() == sum(not w for _, w in left.values())
 
 
+@pytest.mark.parametrize("bounds", [(0, 0), (1, 3)])
+def test_every_line_is_compared_if_asked(spark, bounds):
+    rng = random.Random(12)
+    texts = [None, "", "a\n\nb"] + ["\n".join(words(rng, rng.choice([0, 1, 2, 3, 4]), 9) for _ in range(rng.randrange(1, 4))) for _ in range(25)]
+    assert {(r["doc_id"], r["pos"]) for r in repeated_lines(frame(spark, texts), *bounds).collect()} == brute_lines(texts, *bounds)
+
+
+def test_long_lines_take_little_time_and_match_brute_force(spark, monkeypatch):
+    rng = random.Random(13)
+    long = words(rng, 60_000, 10**6)
+    texts = [long, near_copy(rng, long, 1), near_copy(rng, long, 2), words(rng, 30_000, 10**6)]
+    began = time.perf_counter()
+    assert {(r["doc_id"], r["pos"]) for r in repeated_lines(frame(spark, texts)).collect()} == brute_lines(texts)
+    assert time.perf_counter() - began < 90
+    monkeypatch.setattr(line_dedup, "LONG_WORDS", 4)
+    pool = [words(rng, rng.choice([8, 9, 11, 16, 17, 33, 64]), 30) for _ in range(25)]
+    pool += [near_copy(rng, p, 1) for p in pool for _ in range(3)] + [near_copy(rng, p, 2) for p in pool]
+    texts = ["\n".join(rng.choice(pool) for _ in range(4)) for _ in range(60)]
+    assert {(r["doc_id"], r["pos"]) for r in repeated_lines(frame(spark, texts)).collect()} == brute_lines(texts)
+
+
 def test_short_lines_keep_their_document(spark):
     shared = "Licensed under CC BY-NC 4.0."
     texts = [shared, "roses are red\nviolets are blue\n" + shared, shared + "\n\n \t", "\u8fd9\u662f\u4e00\u7bc7\u6587\u7ae0\n" + shared, "def f():\n\treturn 1\n" + shared, " \n", None]
