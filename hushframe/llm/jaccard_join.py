@@ -260,10 +260,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     share = FREQUENT  # tasks count repeated texts each for itself, so the list is counted before it is collected
     while (often := estimates.filter(F.col("count") * share > total)).count() > FREQUENT:
         share //= 2
-    listed = often.toPandas()
-    known = listed["token"].to_numpy(np.int64).view(np.uint64)
+    listed = often.select("token", "count").toArrow()
+    known = listed["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], listed["count"].to_numpy(np.int64)[order]))
+    sent = spark.sparkContext.broadcast((known[order], listed["count"].to_numpy().astype(np.int64)[order]))
     buckets = 1 << max(0, math.ceil(math.log2(max(1, 0.3 * total / OWNED))))
 
     def described(batches):

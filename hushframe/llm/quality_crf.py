@@ -2,11 +2,13 @@
 
 Every line gets features of its characters and words, and those of the lines before and after it. The field labels
 each line good or bad: its marginals come from forward and backward products of 2 x 2 matrices, taken as segmented
-scans over all lines of a batch, so a document of a million lines takes about twenty numpy steps. A document's
-quality is the mean of its lines' marginals weighted by their lengths, mapped to a probability by a logistic curve.
+scans over blocks of lines, each of which takes over the last one's result; so a document of any number of lines takes a
+few numbers a line. A document's quality is the mean of its lines' marginals weighted by their lengths, mapped to
+a probability by a logistic curve.
 
-It is fitted in numpy by gradient on a bounded sample of labelled documents (MAX_DOCS, MAX_BYTES). Lines start with their
-document's label; then lines of bad documents that the field finds good are relabelled, and it is fitted again.
+It is fitted in numpy by gradient, batch by batch, on a bounded sample of labelled documents (MAX_DOCS of at most MAX_BYTES, and
+MAX_LINES together). Lines start with their document's label; then lines of bad documents that the field finds good are
+relabelled, and it is fitted again.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from hushframe.llm.batches import chunked, map_batches, map_chunks
 from hushframe.llm.shingles import word_hashes
 
-#: The sample that it is fitted on: so many labelled documents of at most so many bytes.
-MAX_DOCS, MAX_BYTES = 3000, 1 << 16
+#: The sample that it is fitted on: so many labelled documents of at most so many bytes, and so many lines of them together.
+MAX_DOCS, MAX_BYTES, MAX_LINES = 3000, 1 << 15, 200_000
+#: Lines that are scanned at a time, bytes of text whose features are made at a time, and lines of a batch when it is fitted.
+BLOCK_LINES, BLOCK_BYTES, BATCH_LINES = 1 << 16, 1 << 18, 6000
 
 _CLASS = np.zeros(256, dtype=np.int64)  # lower-case letters
 _KINDS = ("lower", "upper", "digit", "space", "stop", "symbol", "bar", "bang", "lead", "rest")
@@ -67,16 +71,45 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     return x, length, n_lines
 
 
-def with_neighbours(x: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features with those of the line before and the one after, and each line's place from its text's start and end."""
-    last = np.cumsum(n_lines)
-    place = np.arange(len(x)) - np.repeat(last - n_lines, n_lines)
-    left = np.repeat(last, n_lines) - 1 - np.arange(len(x))
+def _pieces(text: bytes | None):
+    """A text in pieces of about BLOCK_BYTES, cut between lines."""
+    text, at = text or b"", 0
+    while len(text) - at > BLOCK_BYTES and (cut := text.find(b"\n", at + BLOCK_BYTES)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
+
+
+def blocks_of_features(texts: list[bytes | None]):
+    """line_features of texts, a block of pieces at a time: (features, lengths, text of each piece, lines of each piece)."""
+    held, of, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if held and size + len(piece) > BLOCK_BYTES:
+                x, length, n_lines = line_features(held)
+                yield x, length, of, n_lines
+                held, of, size = [], [], 0
+            held.append(piece)
+            of.append(i)
+            size += len(piece)
+    if held:
+        x, length, n_lines = line_features(held)
+        yield x, length, of, n_lines
+
+
+def places(n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's place from its text's start, and from its end."""
+    last, every = np.cumsum(n_lines), np.arange(int(n_lines.sum()))
+    return every - np.repeat(last - n_lines, n_lines), np.repeat(last, n_lines) - 1 - every
+
+
+def with_neighbours(x: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Features with those of the line before and the one after."""
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[1:], after[:-1] = x[:-1], x[1:]
     before[place == 0] = 0
     after[left == 0] = 0
-    return np.concatenate((x, before, after), axis=1), place, left
+    return np.concatenate((x, before, after), axis=1)
 
 
 def _scan(steps: np.ndarray, place: np.ndarray, forward: bool) -> np.ndarray:
@@ -98,31 +131,68 @@ class Field:
     slope: float = 8.0
     middle: float = 0.5
 
-    def marginals(self, x: np.ndarray, place: np.ndarray, left: np.ndarray, pairs: bool = False):
-        """Probability that each line is good; with pairs, also that of each pair of labels of a line and the one before."""
-        logit = np.clip(x @ self.weights, -30, 30)
+    def _steps(self, logit: np.ndarray, place: np.ndarray) -> np.ndarray:
         emit = np.exp(np.column_stack((np.minimum(-logit, 0), np.minimum(logit, 0))))
         steps = np.exp(self.moves)[None] * emit[:, None, :]
         steps[place == 0] = emit[place == 0][:, None, :]
-        ahead = _scan(steps, place, True)[:, 0, :]
-        tail = _scan(steps, left, False).sum(axis=2)
+        return steps
+
+    def sides(self, logit: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each line the weights of its two labels by the lines up to it, and by those behind it, up to a factor."""
+        n = len(logit)
+        ahead, tail = np.empty((n, 2)), np.empty((n, 2))
+        cuts = list(range(0, n, BLOCK_LINES))
+        for a in cuts:
+            own = slice(a, min(n, a + BLOCK_LINES))
+            here = np.minimum(place[own], np.arange(own.stop - a))
+            done = _scan(self._steps(logit[own], place[own]), here, True)
+            ahead[own] = done[:, 0, :]
+            if len(over := np.flatnonzero(place[own] > here)):  # their text began in an earlier block
+                ahead[a + over] = np.einsum("j,njk->nk", ahead[a - 1], done[over])
+                ahead[a + over] /= ahead[a + over].max(axis=1, keepdims=True)
+        for a in reversed(cuts):
+            own = slice(a, min(n, a + BLOCK_LINES))
+            here = np.minimum(left[own], own.stop - 1 - np.arange(a, own.stop))
+            done = _scan(self._steps(logit[own], place[own]), here, False)
+            tail[own] = done.sum(axis=2)
+            if len(over := np.flatnonzero(left[own] > here)):
+                tail[a + over] = done[over] @ tail[own.stop]
+                tail[a + over] /= tail[a + over].max(axis=1, keepdims=True)
         behind = np.ones_like(tail)
         behind[:-1] = np.where(left[:-1, None] > 0, tail[1:], 1.0)
+        return ahead, behind
+
+    def marginals(self, logit: np.ndarray, place: np.ndarray, left: np.ndarray, pairs: bool = False):
+        """Probability that each line is good; with pairs, also that of each pair of labels of a line and the one before."""
+        ahead, behind = self.sides(logit, place, left)
         both = ahead * behind
         good = both[:, 1] / both.sum(axis=1)
         if not pairs:
             return good
         at = np.flatnonzero(place > 0)
-        joint = ahead[at - 1][:, :, None] * steps[at] * behind[at][:, None, :]
+        joint = ahead[at - 1][:, :, None] * self._steps(logit, place)[at] * behind[at][:, None, :]
         return good, at, joint / joint.sum(axis=(1, 2), keepdims=True)
 
+    def lines(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability that each line is good, lines' lengths, and each text's number of lines."""
+        parts = self.weights.reshape(3, N_FEATURES).T
+        scores, lengths, n_lines = [], [], np.zeros(len(texts), dtype=np.int64)
+        for x, length, of, n in blocks_of_features(texts):
+            scores.append(x @ parts)
+            lengths.append(length)
+            np.add.at(n_lines, of, n)
+        own, before, after = np.concatenate(scores).T
+        place, left = places(n_lines)
+        logit = own.copy()
+        logit[1:] += np.where(place[1:] > 0, before[:-1], 0.0)
+        logit[:-1] += np.where(left[:-1] > 0, after[1:], 0.0)
+        return self.marginals(np.clip(logit, -30, 30), place, left), np.concatenate(lengths), n_lines
+
     def quality(self, texts: list[bytes | None]) -> np.ndarray:
         """Score of each text from 0 to 1."""
         if not texts:
             return np.empty(0)
-        x, length, n_lines = line_features(texts)
-        full, place, left = with_neighbours(x, n_lines)
-        return 1 / (1 + np.exp(-self.slope * (_mean(self.marginals(full, place, left), length, n_lines) - self.middle)))
+        return 1 / (1 + np.exp(-self.slope * (_mean(*self.lines(texts)) - self.middle)))
 
 
 def _mean(good: np.ndarray, length: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
@@ -139,17 +209,36 @@ def fit(texts: list[bytes | None], labels: list[int], rounds: int = 250, decay:
         share = float(wanted.mean()) if labels else 0.5
         field.slope, field.middle = 1.0, 0.5 - (4.0 if share > 0.5 else -4.0 if share < 0.5 else 0.0)
         return field
-    x, length, n_lines = line_features(texts)
-    full, place, left = with_neighbours(x, n_lines)
-    truth = np.repeat(wanted, n_lines)
-    of_bad = truth == 0
-    weight = np.where(of_bad, 0.5 / max(1, of_bad.sum()), 0.5 / max(1, (~of_bad).sum())) * len(truth)
+    rng = np.random.default_rng(11)
+    batches, held, size = [], [], 0
+    counts = [(t or b"").count(b"\n") + 1 for t in texts]
+    n_bad = sum(c for c, y in zip(counts, labels) if not y)
+    n_good = sum(counts) - n_bad
+    for i in rng.permutation(len(texts)).tolist():
+        held.append(i)
+        size += counts[i]
+        if size >= BATCH_LINES:
+            batches.append(held)
+            held, size = [], 0
+    if held:
+        batches.append(held)
+    made = []
+    for batch in batches:
+        n_lines = np.array([counts[i] for i in batch])
+        x = np.concatenate([block[0] for block in blocks_of_features([texts[i] for i in batch])])
+        place, left = places(n_lines)
+        truth = np.repeat(wanted[batch], n_lines)
+        weight = np.where(truth == 0, 0.5 / max(1, n_bad), 0.5 / max(1, n_good)) * (n_bad + n_good)
+        made.append((with_neighbours(x, place, left).astype(np.float32), place, left, truth, weight))
     for turn in range(2):
-        if turn:
-            truth = np.where(of_bad & (field.marginals(full, place, left) > 0.6), 1.0, truth)
-        moments = [np.zeros(4 + full.shape[1]) for _ in range(2)]
+        moments = [np.zeros(4 + 3 * N_FEATURES) for _ in range(2)]
+        goals = []
+        for full, place, left, truth, _ in made:
+            found = field.marginals(np.clip(full @ field.weights, -30, 30), place, left) if turn else truth
+            goals.append(np.where((truth == 0) & (found > 0.6), 1.0, truth) if turn else truth)
         for t in range(1, rounds + 1):
-            good, at, joint = field.marginals(full, place, left, pairs=True)
+            (full, place, left, _, weight), truth = made[t % len(made)], goals[t % len(made)]
+            good, at, joint = field.marginals(np.clip(full @ field.weights, -30, 30), place, left, pairs=True)
             kind = truth.astype(int)
             seen = np.zeros_like(joint)
             seen[np.arange(len(at)), kind[at - 1], kind[at]] = 1
@@ -158,11 +247,12 @@ def fit(texts: list[bytes | None], labels: list[int], rounds: int = 250, decay:
             slope = np.concatenate((slope_w, slope_m.ravel()))
             moments[0] = 0.9 * moments[0] + 0.1 * slope
             moments[1] = 0.99 * moments[1] + 0.01 * slope**2
-            move = 0.1 * moments[0] / (1 - 0.9**t) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
+            rate = 0.1 * min(1.0, 2 * (1 - t / (rounds + 1)))
+            move = rate * moments[0] / (1 - 0.9**t) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
             field.weights = field.weights - move[:-4]
             field.moves = field.moves - move[-4:].reshape(2, 2)
     # the logistic curve from mean marginal to label, by Newton's method
-    mean = _mean(field.marginals(full, place, left), length, n_lines)
+    mean = _mean(*field.lines(texts))
     design, beta = np.column_stack((mean, np.ones(len(mean)))), np.array([8.0, -4.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -177,13 +267,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field:
-    """Fit on labelled documents that are not held out: at most max_docs, chosen by hash, of at most max_bytes each."""
+def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> Field:
+    """Fit on labelled documents that are not held out: at most max_docs, chosen by hash, of at most max_bytes each, and of these
+    as many, in the order of their hashes, as have max_lines lines together. Ties of the hash go by doc_id, label and text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") <= max_bytes)
     rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_docs).collect()
-    return fit([bytes(r.text) for r in rows], [r.quality for r in rows])
+    upto = np.searchsorted(np.cumsum([bytes(r.text).count(b"\n") + 1 for r in rows]), max_lines, side="right")
+    return fit([bytes(r.text) for r in rows[:upto]], [r.quality for r in rows[:upto]])
 
 
 def score_quality(docs: DataFrame, field: Field) -> DataFrame:

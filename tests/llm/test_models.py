@@ -45,14 +45,30 @@ def test_marginals_match_enumeration():
     field = quality_crf.Field(rng.normal(size=3 * quality_crf.N_FEATURES), rng.normal(size=(2, 2)))
     texts = [b"one line", b"", b"A\nb\n\nccc ddd ddd\n*** !!!", b"x\ny", None]
     x, _, n_lines = quality_crf.line_features(texts)
-    full, place, left = quality_crf.with_neighbours(x, n_lines)
+    full = quality_crf.with_neighbours(x, *quality_crf.places(n_lines))
     assert n_lines.tolist() == [1, 1, 5, 2, 1]
-    got, at = field.marginals(full, place, left), 0
-    for n in n_lines:
-        assert np.allclose(got[at : at + n], brute_marginals(field, full[at : at + n]))
+    (got, length, counts), at = field.lines(texts), 0
+    assert counts.tolist() == n_lines.tolist()
+    scores = field.quality(texts)
+    for k, n in enumerate(n_lines):
+        brute = brute_marginals(field, full[at : at + n])
+        assert np.allclose(got[at : at + n], brute)
+        weight = np.maximum(length[at : at + n], 1e-3)
+        assert scores[k] == pytest.approx(1 / (1 + np.exp(-field.slope * ((brute * weight).sum() / weight.sum() - field.middle))))
         at += n
 
 
+def test_blocks_change_no_score(monkeypatch):
+    rng = random.Random(3)
+    field = quality_crf.Field(np.random.default_rng(2).normal(size=3 * quality_crf.N_FEATURES), np.array([[1.0, -1.0], [-0.5, 0.7]]))
+    texts = ["\n".join(rng.choice(["", "a", "some words here.", "*** !!!", "x " * 40]) for _ in range(rng.choice([1, 3, 200, 900]))).encode() for _ in range(30)] + [None, b"", b"\n" * 500]
+    want = field.quality(texts)
+    monkeypatch.setattr(quality_crf, "BLOCK_LINES", 37)
+    monkeypatch.setattr(quality_crf, "BLOCK_BYTES", 300)
+    assert np.allclose(field.quality(texts), want)
+    assert np.allclose([field.quality([t])[0] for t in texts], want)
+
+
 def test_quality_is_learnt_and_applied(spark):
     rng = random.Random(2)
     shuffled = lambda t: "\n".join(" ".join(rng.sample(line.split(), len(line.split()))) for line in t.split("\n"))
