@@ -16,7 +16,7 @@ from hushframe.functions.blind import blind_equals, blind_hex, blind_index, blin
 from hushframe.limits import UNBOUNDED
 from hushframe.model import DatasetSlug, DeclaredSchema, read_footers
 from hushframe.operators.disclosure import MinimumCount
-from hushframe.plans.corpus import CASES, PEOPLE
+from hushframe.plans import corpus
 from hushframe.plans.scope import Scope
 from hushframe.sources import mappers, synthetic
 from hushframe.sources.folders import work_folder
@@ -165,14 +165,13 @@ def _open(sql: str) -> Query:
 
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case of the corpus with the gate's verdict; accepted ones say how many rows survive."""
-    folder = work_folder(spark, "people")
-    spark.createDataFrame(PEOPLE, "id string, dept string, salary long").write.parquet(f"{folder}/people")
-    spark.createDataFrame([("eng", 9999)], "dept string, `count(x)` long").write.parquet(f"{folder}/spoof")
-    scope = Scope(spark, True, MinimumCount(5))
-    for table in ("people", "spoof"):
+    folder = work_folder(spark, "trips")
+    scope = Scope(spark, True, MinimumCount(corpus.K))
+    for table, rows_of, columns in (("trips", corpus.TRIPS, corpus.COLUMNS), ("lookalike", corpus.LOOKALIKE, corpus.LOOKALIKE_COLUMNS)):
+        spark.createDataFrame(rows_of, columns).write.parquet(f"{folder}/{table}")
         scope.register(table, f"{folder}/{table}")
     rows = []
-    for name, sql, _ in CASES:
+    for name, sql, _ in corpus.CASES:
         try:
             verdict = f"rows:{scope.sql(sql).row_count}"
         except Unplannable:
@@ -323,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
     plain = {name: duck or sql for name, (sql, duck) in OPEN.items()}
     index = f"SELECT c_custkey, {blind_sql(KEY, 'c_name')} AS bidx FROM customer"
     return released | plain | {
-        "gate_verdicts": _values([(name, verdict) for name, _, verdict in CASES], "name, verdict"),
+        "gate_verdicts": _values([(name, verdict) for name, _, verdict in corpus.CASES], "name, verdict"),
         "suppressed_rows_report": "SELECT k, count(*) FILTER (WHERE n >= k) AS kept, count(*) FILTER (WHERE n < k) AS suppressed FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey), (SELECT CAST(unnest([1, 5, 11, 50, 60, 1000000]) AS BIGINT) AS k) GROUP BY k",
         "blind_index": index, "blind_equality": f"SELECT c_custkey FROM customer WHERE c_name = '{_known_name('')}'", "blind_miss": f"SELECT c_custkey FROM ({index}) WHERE bidx = '{blind_hex(KEY, 'nobody')}'",
         "declared_schema_verdicts": _values([("right", "registered"), ("renamed", "schema"), ("family", "schema"), ("order", "schema"), ("extra", "schema"), ("row_cap", "row cap"), ("list", "schema")], "name, verdict"),
