@@ -21,8 +21,8 @@ from hushframe.llm.shared import broadcast_if_small, stored
 
 #: Words in a window; an item with fewer is one window.
 N = 13
-#: Bytes of benchmark text that are broadcast at a time.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are broadcast at a time; as windows they take about seventy times as much in each worker.
+BLOCK_BYTES = 2 << 20
 #: A document is contaminated if hit words are at least one in so many.
 SHARE = 20
 
@@ -107,12 +107,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
     """One row for each row of docs (doc_id, text): n_words, spans of hit words (start, end), item_ids with a window in it.
 
     Null and empty texts have no words. Items without words or without item_id hit nothing; an item_id that repeats is
-    one item. Other columns of either table are ignored. A document of any length is scanned whole.
+    one item. Other columns of either table are ignored. A document of any length is scanned whole. With several blocks the
+    rows are numbered and stored first, and each block is scanned, stored and taken off the executors before the next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
+    if n_blocks > 1:
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
     parts = []
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
@@ -122,15 +125,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
             windows = sent.value
             return lambda batch: _scan(windows, batch)
 
-        parts.append(map_chunks(rows, "text", make, _SCHEMA))
-    if n_blocks == 1:
-        return parts[0]
-    # a row of docs is its place in the scan; every block scans the same rows
-    keyed = [p.withColumn("__row", F.monotonically_increasing_id()) for p in parts]
-    every = keyed[0]
-    for p in keyed[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("__row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")).drop("__row")
+        if n_blocks == 1:
+            return map_chunks(rows, "text", make, _SCHEMA)
+        by_row = rows.select(F.col("row").alias("doc_id"), "text")
+        parts.append(stored(map_chunks(by_row, "text", make, _SCHEMA).withColumnRenamed("doc_id", "row"), "decontaminate-block"))
+        sent.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p.filter(F.size("spans") > 0))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    return rows.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", "spans", "item_ids")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -169,7 +169,7 @@ class Network:
 
 
 def train(texts: list[bytes], langs: list[str], steps: int = 260, size: int = 256, seed: int = 5) -> Network:
-    """A network for texts of known languages; every language gets as many windows in each step."""
+    """A network for texts of known languages; every language gets as many windows in each step. Texts without letters teach nothing."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     make = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -181,6 +181,8 @@ def train(texts: list[bytes], langs: list[str], steps: int = 260, size: int = 25
     some = _LETTER[rows].any(axis=1)
     pools = [np.flatnonzero(some & (truth == k)) for k in range(len(names))]
     pools = [rng.permutation(x)[: MAX_WINDOWS // len(names)] for x in pools if len(x)]
+    if not pools:  # no text has a letter
+        return net
     moments = [[np.zeros_like(w) for w in net.weights()] for _ in range(2)]
     for step in range(1, steps + 1):
         at = np.concatenate([rng.choice(x, size // len(pools)) for x in pools])

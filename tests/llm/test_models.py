@@ -128,6 +128,12 @@ def test_languages_of_held_out_documents(spark, sf):
     assert language_gru.identify(frame(spark, []), net).count() == 0
 
 
+def test_languages_without_letters_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, "12 34 !?", "ab"[i % 2]) for i in range(1, 30)] + [(None, "text", "a")], "doc_id long, text string, lang string")
+    found = language_gru.identify(docs, language_gru.train_on(docs)).collect()
+    assert len(found) == 30 and {r["lang_pred"] for r in found if r["doc_id"] is not None} == {"und"}
+
+
 # SentencePiece
 
 
