@@ -23,7 +23,7 @@ def connected(links: DataFrame) -> DataFrame:
         near = join_per_key(both.select("a", F.col("b").alias("node")), state, ["node"], "n", n_links).groupBy("a").agg(F.min("component").alias("near"))
         hooked = stored(state.join(near, state["node"] == near["a"]).select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"), "n"), "components")
         sizes = hooked.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        up = sizes.join(state.select(F.col("node").alias("component"), F.col("component").alias("up")), "component")
+        up = stored(sizes.join(state.select(F.col("node").alias("component"), F.col("component").alias("up")), "component"), "components-up")
         jumped = stored(join_per_key(hooked, up, ["component"], "size", n_nodes).select("node", "before", F.least("component", "up").alias("component"), "n"), "components")
         if jumped.filter("component <> before").isEmpty():
             return jumped.select("node", "component")

@@ -286,7 +286,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     unshared = F.greatest(F.lit(0), F.floor(1023 * (1 - F.col("c") / prefix))).cast("long")
     meta = stored(about.join(counts, "label").select("label", "n", "l", (F.call_function("shiftleft", unshared, F.lit(52)) + F.col("label").bitwiseAND(F.lit((1 << 52) - 1))).alias("rank")), "join-ranks")
     ranked = live.join(broadcast_if_small(meta.select("label", "rank")), "label")
-    centres = ranked.groupBy("token").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("f")).filter("f > 1")
+    centres = stored(ranked.groupBy("token").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("f")).filter("f > 1"), "join-centres")
     n_live = live.count()
     named = meta.select(F.col("rank").alias("first"), F.col("label").alias("a"))
     tokens_of = join_per_key(live, centres, ["token"], "f", n_live).groupBy("first", F.col("label").alias("b")).agg(F.count(F.lit(1)).alias("k"))
@@ -301,7 +301,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     placed = live.join(broadcast_if_small(parts), live["label"] == parts["node"], "left").select("token", "label", F.coalesce("component", "label").alias("component"))
     # of a token's components the largest (major) is only met from outside: its own pairs are never looked at
     sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    majors = sizes.groupBy("token").agg(F.max_by("component", "size").alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("f")).filter("parts > 1").drop("parts")
+    majors = stored(sizes.groupBy("token").agg(F.max_by("component", "size").alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("f")).filter("parts > 1").drop("parts"), "join-majors")
     met = stored(join_per_key(placed, majors, ["token"], "f", n_live), "join-open")
     # a node's open tokens, those of fewest nodes first; behind a pair's first common token, in both, are all that they share
     kinds = met.groupBy("label").agg(F.first("component").alias("component"), F.array_sort(F.collect_list(F.struct("f", "token", "major"))).alias("open"))
@@ -327,7 +327,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     nodes = about.select("node", "n", "label")
     named = groups.join(nodes, ["node", "n"]).join(parts.select(F.col("node").alias("label"), "component"), "label", "left").withColumn("component", F.coalesce("component", "label"))
-    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_sets"))
+    named = stored(named, "join-named")
+    firsts = stored(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_sets")), "join-firsts")
     table = stored(join_per_key(named, firsts, ["component"], "n_sets", groups.count()).select("digest", "size", "component_id"), "join-classes")
     n_rows = own.count()
     with_words = join_per_key(own.filter("n > 0"), table, ["digest"], "size", n_rows)

@@ -43,9 +43,13 @@ def join_per_key(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     """Join rows (many of a key) with table (one row of a key; size says how many rows have it).
 
     Hot keys, of which there are fewer than HOT_SHARE by their definition, are broadcast, so their rows are not
-    shuffled at all; the others are joined by a shuffle in which no key has more than one in HOT_SHARE rows.
+    shuffled at all; the others are joined by a shuffle in which no key has more than one in HOT_SHARE rows. Without
+    hot keys it is that shuffle alone. table should be stored, as it is asked for hot keys first.
     """
-    hot = F.broadcast(table.filter(F.col(size) * HOT_SHARE > F.lit(total)))
+    hot = table.filter(F.col(size) * HOT_SHARE > F.lit(total))
+    if hot.isEmpty():
+        return rows.join(table, keys, how)
+    hot = F.broadcast(hot)
     cold = table.filter(F.col(size) * HOT_SHARE <= F.lit(total))
     of_hot = rows.join(hot, keys, "inner")
     of_cold = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
