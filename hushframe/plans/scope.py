@@ -151,8 +151,9 @@ class Scope:
             names = df.columns
             with self._timed() as late:
                 try:
-                    # a gated result is cut by nothing: its rows are counted after suppression
-                    found = (df if seen else df.limit(self.limits.result_rows + 1)).collect()
+                    # One row over the limit is enough to refuse. Under the limit, limit() has read every partition to
+                    # its end, so suppressed rows are counted whole.
+                    found = df.limit(self.limits.result_rows + 1).collect()
                 except Exception as e:
                     if late():
                         raise LimitExceeded("time") from None

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder; in a temporary one only where none is named, as in tests."""
+    """A new folder's path in the shared folder. Where none is named, in a temporary one if the master is local (tests);
+    on a cluster that is an error, as executors would not see the driver's disk."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"

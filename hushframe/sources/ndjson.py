@@ -24,7 +24,9 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType, limits: Ndjs
     limits=None takes files of any size. Each check is one pass of aggregates on Spark; the first bad line's number is by
     position in its file. Values of another type than the schema's, and absent ones, are null.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    # file, then split, then place among the lines of the task that reads the split
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), at.alias("at"))
     full = F.trim("line") != ""
     if limits is not None:
         size, longest, count = lines.agg(F.sum(F.octet_length("line") + 1), F.max(F.octet_length("line")), F.count_if(full)).first()
@@ -33,7 +35,11 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType, limits: Ndjs
     parsed = F.try_parse_json("line")
     bad = lines.filter(full & (parsed.isNull() | F.col("line").contains("�"))).agg(F.min("at"), F.count(F.lit(1))).first()
     if bad[1]:
-        raise Malformed(f"line {(bad[0] & ((1 << 33) - 1)) + 1} is not JSON")
+        # lines of the file up to the bad one, those in its earlier splits included; no filter, which would change the splits
+        file, block, place = bad[0]
+        before = (F.col("at.block") < block) | (F.col("at.block") == block) & (F.col("at.place") <= place)
+        number = lines.agg(F.count_if((F.col("at.file") == file) & before)).first()[0]
+        raise Malformed(f"line {number} is not JSON")
     return lines.filter(full).select(*[_field(parsed, f.name, f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from hushframe.errors import PolicyMissing, QueryError, StatementNotAllowed, Unplannable
+from hushframe.limits import QueryLimits
 from hushframe.operators.disclosure import Composite, MinimumCount
 from hushframe.plans.corpus import CASES, COLUMNS, LOOKALIKE, LOOKALIKE_COLUMNS, SECRET, STATEMENTS, TRIPS, K
 from hushframe.plans.scope import Scope
@@ -73,3 +74,20 @@ def test_suppressed_rows_are_counted_and_composites_add_up(spark, tables, gated)
     both = Scope(spark, True, Composite((MinimumCount(2), MinimumCount(K))))
     both.register("trips", f"{tables}/trips")
     assert (both.sql(sql).row_count, both.sql(sql).suppressed_rows) == (3, 2)
+
+
+def test_result_limit_of_a_gated_query_counts_released_rows_only(spark, tmp_path):
+    rows = [(g, i) for g in range(400) for i in range(30 if g % 20 == 0 else 2)]
+    spark.createDataFrame(rows, "g int, v int").repartition(6).write.parquet(f"{tmp_path}/many")
+    sql = "SELECT g, COUNT(*) AS n FROM many GROUP BY g"
+    for most, whole in ((19, False), (20, True), (10_000, True)):
+        limited = Scope(spark, True, MinimumCount(11), QueryLimits(result_rows=most))
+        limited.session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        limited.session.conf.set("spark.sql.shuffle.partitions", "23")
+        limited.register("many", f"{tmp_path}/many")
+        if whole:
+            found = limited.sql(sql)
+            assert (found.row_count, found.suppressed_rows) == (20, 380)
+        else:
+            with pytest.raises(QueryError):
+                limited.sql(sql)

@@ -80,6 +80,21 @@ def test_footers_of_several_files(tmp_path):
     assert (footers.rows, count) == (3000, 3) and footers.bytes > 0 and size > 0
 
 
+def test_ndjson_line_numbers_count_from_the_start_of_the_file(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, bad in (("a", None), ("b", 371), ("c", 5)):
+        (folder / f"{name}.ndjson").write_text("".join("{broken\n" if k == bad else "\n" if k % 10 == 0 else f'{{"id":{k}}}\n' for k in range(1, 501)))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", usual):  # files cut into several splits, and several files in one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            with pytest.raises(Malformed, match="line 371 "):
+                read_ndjson(spark, str(folder), spark.range(0).schema)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_ndjson(spark, tmp_path):
     schema = spark.createDataFrame([], "id string, n long, x double, ok boolean").schema
     (tmp_path / "good.ndjson").write_bytes(b'{"id":"a","n":1,"x":1.5,"ok":true}\r\n\n{"id":2,"n":"x","x":3}\n')
