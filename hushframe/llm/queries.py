@@ -111,6 +111,17 @@ ORACLES = {
                    FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE
+             d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+             z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             e AS (SELECT x, y FROM p JOIN z AS a ON a.doc_id = x JOIN z AS b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+             r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id
+        FROM d LEFT JOIN z USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) AS c ON c.doc_id = d.doc_id
+    """,
     "op9_line_dedup": r"""
         WITH l AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(lines[pos + 1], '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS w
                    FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
