@@ -43,8 +43,9 @@ from hushframe.llm.shingles import mixed
 MARK = "▁"
 #: Words that a task keeps before it starts anew; longer words are not kept. About 30 MB at most.
 MEMORY, LONG = 100_000, 64
-#: Places for costs of pairs that a task keeps (as a power of two; 9 bytes each), and characters that are composed at a time.
-PAIRS, SEGMENT = 20, 1 << 20
+#: Places for costs of pairs that a task keeps (as a power of two; 9 bytes each), and characters that are composed at a time;
+#: a character's arcs take up to some hundred bytes.
+PAIRS, SEGMENT = 20, 1 << 17
 #: Where the public model lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an arc of the byte fallback costs: more than any path of pieces.
@@ -469,7 +470,7 @@ def encode(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
         encoder = Encoder(sent.value)
         return lambda batch: _encoded(encoder, batch)[2].add_column(1, "text", batch.column("text"))
 
-    return map_chunks(_rows(docs), "text", make, "doc_id long, text string, ids array<int>, n_fallback long")
+    return map_chunks(_rows(docs), "text", make, "doc_id long, text string, ids array<int>, n_fallback long", SEGMENT)
 
 
 def decode(encoded: DataFrame, model: str | Model = MODEL) -> DataFrame:
@@ -506,7 +507,7 @@ def encode_and_decode(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
 
         return work
 
-    return map_chunks(_rows(docs), "text", make, "doc_id long, ids array<int>, n_fallback long, decoded string, round_trip boolean", 1 << 20)
+    return map_chunks(_rows(docs), "text", make, "doc_id long, ids array<int>, n_fallback long, decoded string, round_trip boolean", SEGMENT)
 
 
 def round_trips(docs: DataFrame, model: str | Model = MODEL) -> DataFrame:
